@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, secrets, tokencounts
+from . import bpe, chat, decontaminate, secrets, tokencounts, toxicity
 
 
 def queries() -> dict:
-    found = (tokencounts.op6_token_counts, bpe.op10_bpe, secrets.op7_secret_scans, chat.op2_chat_formatting)
+    found = (tokencounts.op6_token_counts, bpe.op10_bpe, secrets.op7_secret_scans, chat.op2_chat_formatting, toxicity.op8_toxicity, decontaminate.op3_decontamination)
     return {f.__name__: f for f in found}
 
 
