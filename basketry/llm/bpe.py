@@ -283,7 +283,7 @@ def little(ids: array) -> bytes:
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text", texts: bool = False) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) for each row, and with texts also ids and decoded.
+    """(key, n_tokens, ids_sha256, decoded_sha256) for each row, and with texts also ids, as little-endian unsigned 32-bit integers, and decoded.
 
     A null text counts as empty: no tokens, and the digests of nothing. Rows are read one at a time, so null keys, repeated rows and
     extra columns are no matter; an empty table gives no rows. Texts and words of any length are encoded whole.
@@ -297,12 +297,12 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", column: str =
             ids = np.frombuffer(data, "<u4").tolist()
             decoded = c.decode(ids)
             out = k, len(ids), sha(data), sha(decoded.encode())
-            return (*out, ids, decoded) if texts else out
+            return (*out, data, decoded) if texts else out
 
         return row
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [key, column], f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * texts, make)
+    return map_rows(docs, [key, column], f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * texts, make)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -157,14 +158,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", col
     A null or empty text, on either side, matches nothing; an item of fewer than WINDOW words is one window. Null item ids are left
     out; null keys, repeated rows and extra columns are no matter. An empty benchmark leaves every row clean.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(item, "text").filter(F.col(item).isNotNull())
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
+    items = _items(benchmark, item)
+    known = _small(items)
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"{key} {kind}, n_items long, items array<{item_kind}>, best_share double, contaminated boolean"
-    if words > BROADCAST_ROWS:
+    if known is None:
         return _by_shuffle(docs, items, key, column, item, share, schema)
-    known = spark.sparkContext.broadcast(pickle.dumps([tuple(r) for r in items.collect()]))  # at most BROADCAST_ROWS words
 
     def make():
         b = Benchmark(pickle.loads(known.value))
@@ -214,10 +213,33 @@ def _windows(df: DataFrame, key: str, column: str) -> DataFrame:
     return map_rows(df, [key, column], f"{key} {df.schema[key].dataType.simpleString()}, hashes array<long>", make)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", item: str = "item_id", share: float = SHARE) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    flags = contaminated(docs.select(F.struct(*docs.columns).alias("_d"), F.col(column).alias("_t")), benchmark, "_d", "_t")
-    return flags.filter(~F.col("contaminated")).select("_d.*")
+    items = _items(benchmark, item)
+    known = _small(items)
+    if known is None:
+        bad = contaminated(docs, benchmark, key, column, item, share).filter("contaminated").select(F.col(key).alias("_bad")).distinct()
+        return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(column)
+
+    def run(batches):
+        b = Benchmark(pickle.loads(known.value))
+        for x in batches:
+            keep = [not t or all(s < share for _, s, *_ in b.matches(t)) for t in x.column(at).to_pylist()]
+            yield x.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _items(benchmark: DataFrame, item: str) -> DataFrame:
+    return benchmark.select(item, "text").filter(F.col(item).isNotNull())
+
+
+def _small(items: DataFrame):
+    """The items, broadcast, if they have BROADCAST_ROWS words at most."""
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
+    return items.sparkSession.sparkContext.broadcast(pickle.dumps([tuple(r) for r in items.collect()])) if words <= BROADCAST_ROWS else None
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,10 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, sha, table
+from .common import map_rows, sha, small_batches, table
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -140,18 +141,16 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", column: str = "text") ->
 
 def redacted(docs: DataFrame, column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with the secrets in one column replaced; a null text stays null."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(column)
 
-    def make():
-        def row(*values):
-            if values[at] is None:
-                return values
-            _, spans = scan(values[at])
-            return (*values[:at], redact(values[at], spans, mark), *values[at + 1 :]) if spans else values
-
-        return row
+    def run(batches):
+        for b in batches:
+            texts = [x if not x or not (spans := scan(x)[1]) else redact(x, spans, mark) for x in b.column(at).to_pylist()]
+            cols = [*b.columns[:at], pa.array(texts, b.column(at).type), *b.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return map_rows(docs, docs.columns, docs.schema, make)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
