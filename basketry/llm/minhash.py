@@ -6,8 +6,9 @@ documents draw the same one with the probability of their weighted Jaccard simil
 that agree in a band are compared exactly, by their weighted shingles. THRESHOLD or more is a link; classes are connected components.
 
 Texts with the same words are made one first. In each band's bucket every text is compared with the bucket's first; most buckets then
-lie in one class. Where one does not, the texts of different classes in it are compared in blocks of about BLOCK, so no link between
-different texts is lost and no crowded bucket falls to a single task.
+lie in one class. Where one does not, its texts are laid out in blocks of about BLOCK and each pair of blocks goes to some task, so no
+crowded bucket falls to a single one. There a pair of texts of different classes is compared exactly, in the first band that both share,
+if AGREE or more of their HASHES samples are the same: at a similarity of THRESHOLD fewer are with a probability under 0.001.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ THRESHOLD = 0.8
 HASHES, ROWS = 36, 3
 BUCKETS = 1 << 20
 GRAIN = 1 << 14
-BLOCK = 48
+BLOCK = 1_024
+AGREE = 20
 CHUNK = 2_048
 CACHE = 300_000
 WORD = re.compile(r"\w+")
@@ -106,8 +108,8 @@ class Sampler:
             out = np.where(better, mix(own[at] + (t[every, at].astype(np.int64) + 1000).astype(np.uint64) * ODD), out)
         return out
 
-    def bands(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        s = self.draw(h, w).reshape(-1, ROWS)
+    def bands(self, draws: np.ndarray) -> np.ndarray:
+        s = draws.reshape(-1, ROWS)
         out = np.arange(len(s), dtype=np.uint64)
         for j in range(ROWS):
             out = mix(out * ODD + s[:, j])
@@ -170,28 +172,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     small_batches(spark)
     counts, n = document_frequencies(docs, column)
     df = spark.sparkContext.broadcast((counts, n))  # BUCKETS numbers, whatever the input
-    shape = "id long, digest binary, bands array<long>"
+    shape = "id long, digest binary, bands array<long>, sig binary"
     arrow = arrow_schema(shape)
 
     def sign(batches):
         s, draw = Shingler(*df.value), Sampler()
         for b in batches:
-            ks, digests, bands = b.column(0), [], []
+            ks, digests, bands, sigs = b.column(0), [], [], []
             for text in b.column(1).to_pylist():
                 ids = s.ids(text or "")
                 if len(ids):
                     h, tf = s.shingles(ids)
                     digests.append(xxhash.xxh128_digest(ids.tobytes()))
-                    bands.append(draw.bands(h, tf * s.idf[bucket(h)]))
+                    drawn = draw.draw(h, tf * s.idf[bucket(h)])
+                    bands.append(draw.bands(drawn))
+                    sigs.append(drawn.astype(np.uint32).tobytes())
                 else:
-                    digests.append(None)
-                    bands.append(None)
-            yield batch(arrow, ks, digests, bands)
+                    for c in (digests, bands, sigs):
+                        c.append(None)
+            yield batch(arrow, ks, digests, bands, sigs)
 
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(column).alias("text"))
     signed = cut(d.mapInArrow(sign, shape))
     some = F.col("digest").isNotNull() & F.col("id").isNotNull()
-    reps = cut(signed.filter(some).groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    reps = cut(signed.filter(some).groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     firsts = members.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", "first")
     members = cut(members.join(firsts, "bucket").select("bucket", "rep", "first"))
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     mixed = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
     rest = cut(named.join(mixed, "bucket"))
     if not rest.isEmpty():
-        linked = cut(linked.unionByName(_verify_blocks(rest, texts, df, threshold)))
+        linked = cut(linked.unionByName(_verify_blocks(rest.join(reps.select("rep", "bands", "sig"), "rep"), texts, df, threshold)))
         label = components(linked, "rep", "first")
     named = reps.select("digest", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     kind = docs.schema[key].dataType
@@ -233,30 +237,53 @@ def _verify(pairs: DataFrame, texts: DataFrame, df, threshold: float) -> DataFra
 def _verify_blocks(rest: DataFrame, texts: DataFrame, df, threshold: float) -> DataFrame:
     """Links between texts of different classes in one bucket; each pair of blocks is a group, and a group returns a spanning forest's links."""
     at = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    placed = rest.withColumn("b", at).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bucket", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "rep", "part")
-    rows = placed.join(texts.withColumnRenamed("id", "rep"), "rep")
+    cols = ("b", "rep", "part", "bands", "sig")
+    placed = rest.withColumn("b", at).join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = placed.select("bucket", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), *cols, "text")
     arrow = arrow_schema("rep long, first long")
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
         s = Shingler(*df.value)
         bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
-        b, reps, parts = (t.column(c).to_pylist() for c in ("b", "rep", "part"))
-        sets = [s.weighted(x or "") for x in t.column("text").to_pylist()]
-        root = dict(zip(parts, parts))
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
+        b, reps, parts = (np.array(t.column(c)) for c in ("b", "rep", "part"))
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(b), HASHES)
+        band = int(np.argmax(bands[0] == t.column("bucket")[0].as_py()))
+        texts, sets = t.column("text"), {}
+
+        def weighted(i):
+            if i not in sets:
+                sets[i] = s.weighted(texts[i].as_py() or "")
+            return sets[i]
+
+        found = []
+        for lo in range(0, len(b), 32):
+            i = slice(lo, lo + 32)
+            agree = (sigs[i, None, :] == sigs[None, :, :]).sum(2)
+            ok = (agree >= AGREE) & (reps[i, None] < reps[None, :]) & (parts[i, None] != parts[None, :])
+            if bi != bj:
+                ok &= b[i, None] != b[None, :]
+            x, y = np.nonzero(ok)
+            first = (bands[x + lo] == bands[y]).argmax(1) == band
+            found.append(np.column_stack([agree[x, y], x + lo, y])[first])
+        found = np.concatenate(found)
+        found = found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))]
+        root = {p: p for p in parts.tolist()}
+
+        def find(p):
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
 
         out = ([], [])
-        order = sorted(range(len(b)), key=lambda i: reps[i])
-        for i in order:
-            for j in order:
-                if reps[i] < reps[j] and (bi == bj or b[i] != b[j]) and (p := find(parts[i])) != (q := find(parts[j])) and similarity(sets[i], sets[j]) >= threshold:
-                    root[max(p, q)] = min(p, q)
-                    out[0].append(reps[j])
-                    out[1].append(reps[i])
+        for _, i, j in found.tolist():
+            p, q = find(int(parts[i])), find(int(parts[j]))
+            if p != q and similarity(weighted(i), weighted(j)) >= threshold:
+                root[max(p, q)] = min(p, q)
+                out[0].append(int(reps[j]))
+                out[1].append(int(reps[i]))
         return pa.Table.from_batches([batch(arrow, *out)], arrow)
 
     return rows.groupBy("bucket", "bi", "bj").applyInArrow(run, "rep long, first long")
