@@ -72,6 +72,17 @@ class Shingler:
         return h, tf * self.idf[bucket(h)]
 
 
+_HELD: list = [None, None]
+
+
+def shingler(df) -> Shingler:
+    """The Shingler of a broadcast, made once in each worker: its table of weights takes longer than many a group of rows."""
+    v = df.value
+    if _HELD[0] is not v:
+        _HELD[:] = [v, Shingler(*v)]
+    return _HELD[1]
+
+
 def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
@@ -176,7 +187,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     arrow = arrow_schema(shape)
 
     def sign(batches):
-        s, draw = Shingler(*df.value), Sampler()
+        s, draw = shingler(df), Sampler()
         for b in batches:
             ks, digests, bands, sigs = b.column(0), [], [], []
             for text in b.column(1).to_pylist():
@@ -222,7 +233,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, df, threshold: float) -> DataFra
     arrow = arrow_schema("rep long, first long")
 
     def run(batches):
-        s, was, own = Shingler(*df.value), None, None
+        s, was, own = shingler(df), None, None
         for b in batches:
             keep = []
             for f, x, y in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
@@ -244,7 +255,6 @@ def _verify_blocks(rest: DataFrame, texts: DataFrame, df, threshold: float) -> D
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
-        s = Shingler(*df.value)
         bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
         b, reps, parts = (np.array(t.column(c)) for c in ("b", "rep", "part"))
         bands = np.array(t.column("bands").to_pylist(), np.int64)
@@ -254,7 +264,7 @@ def _verify_blocks(rest: DataFrame, texts: DataFrame, df, threshold: float) -> D
 
         def weighted(i):
             if i not in sets:
-                sets[i] = s.weighted(texts[i].as_py() or "")
+                sets[i] = shingler(df).weighted(texts[i].as_py() or "")
             return sets[i]
 
         found = []
