@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, small_batches, table
 
 #: Labelled rows for the fit, for each value of the last category.
-ROWS_PER_CLASS = 4_000
+ROWS_PER_CLASS = 2_500
 FEATURES = 4_000
 FOLDS = 5
 STEMS = (4, 5, 6)
