@@ -63,6 +63,7 @@ class Lattice:
         logs = np.log(probs)
         self.index, self.longest, self.n = v.index, v.longest, len(v.pieces)
         self.logs = dict(zip(v.pieces, logs.tolist()))
+        self.plain = {p: (x, i) for i, (p, x) in enumerate(zip(v.pieces, probs.tolist()))}
         self.bytes, self.end = logs[self.n : -1].tolist(), float(logs[-1])
 
     def spelled(self, c: str) -> float:
@@ -93,6 +94,8 @@ class Lattice:
         """Adds the expected number of uses of each piece in a word that is seen weight times."""
         s, get, most, index, n = MARK + word, self.logs.get, self.longest, self.index, self.n
         size = len(s)
+        if size <= 40 and self.expected_plain(s, weight, counts):
+            return
         a, edges = [0.0], []
         for i in range(1, size + 1):
             own = []
@@ -119,6 +122,30 @@ class Lattice:
                     for b in s[i - 1].encode():
                         counts[n + b] += f
 
+    def expected_plain(self, s: str, weight: float, counts: list[float]) -> bool:
+        """expected() without logarithms, for short words of known characters whose probabilities do not vanish; else False, and nothing is added."""
+        get, most, size = self.plain.get, self.longest, len(s)
+        a, edges = [1.0], []
+        for i in range(1, size + 1):
+            own, total = [], 0.0
+            for j in range(i - most if i > most else 0, i):
+                if (x := get(s[j:i])) is not None:
+                    f = a[j] * x[0]
+                    total += f
+                    own.append((j, f, x[1]))
+            if total < 1e-250:
+                return False
+            a.append(total)
+            edges.append(own)
+        g = [0.0] * size + [weight]
+        for i in range(size, 0, -1):
+            if scale := g[i] / a[i]:
+                for j, f, k in edges[i - 1]:
+                    f *= scale
+                    g[j] += f
+                    counts[k] += f
+        return True
+
 
 def word_counts(docs: DataFrame, key: str, column: str) -> DataFrame:
     """(word, n, c): how often each word occurs in all texts, and in training texts. Tasks add up before the shuffle."""
