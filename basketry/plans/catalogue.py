@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 DAY = lambda c: F.to_date(c)
-REV = (X.money("l_extendedprice") * (F.lit(1).cast("decimal(18,4)") - X.money("l_discount"))).cast("decimal(28,4)")
+REV = lambda: (X.money("l_extendedprice") * (F.lit(1).cast("decimal(18,4)") - X.money("l_discount"))).cast("decimal(28,4)")
 REV_SQL = "CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * (1 - CAST(l_discount AS DECIMAL(18,4))) AS DECIMAL(28,4))"
 
 
@@ -53,7 +53,7 @@ def stg_flags_defaults(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum({REV_SQL}) AS DOUBLE) AS net, CAST(round(sum({REV_SQL}), 2) AS DOUBLE) AS net_rounded FROM lineitem GROUP BY ALL""")
 def line_total(spark: SparkSession, d: str) -> DataFrame:
-    g = parquet(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n_lines"), F.sum(REV).alias("net"))
+    g = parquet(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n_lines"), F.sum(REV()).alias("net"))
     return g.select("l_returnflag", "l_linestatus", "n_lines", F.col("net").cast("double").alias("net"), F.round("net", 2).cast("double").alias("net_rounded"))
 
 
@@ -150,7 +150,7 @@ SELECT p_brand, day, CAST(revenue AS DOUBLE) AS revenue, CAST(sum(revenue) OVER
 def rolling_revenue(spark: SparkSession, d: str) -> DataFrame:
     o = parquet(spark, d, "orders").select("o_orderkey", DAY("o_orderdate").alias("day"))
     p = parquet(spark, d, "part").select("p_partkey", "p_brand")
-    li = parquet(spark, d, "lineitem").select("l_orderkey", "l_partkey", REV.alias("rev"))
+    li = parquet(spark, d, "lineitem").select("l_orderkey", "l_partkey", REV().alias("rev"))
     g = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "day").agg(F.sum("rev").alias("revenue"))
     w = Window.partitionBy("p_brand").orderBy("day").rowsBetween(-6, 0)
     return g.select("p_brand", "day", F.col("revenue").cast("double").alias("revenue"), F.sum("revenue").over(w).cast("double").alias("rolling_sum"), F.count("*").over(w).alias("days"))

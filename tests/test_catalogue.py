@@ -126,7 +126,7 @@ def test_quality(spark):
     assert got == {"k_not_null": (2, 1, False), "s_accepted": (2, 1, False), "u": (1, 2, True)}
     t = df.withColumn("_loaded_at", F.lit("2024-01-01").cast("timestamp"))
     assert Q.freshness(t, "_loaded_at", F.lit("2024-01-02 06:00:00").cast("timestamp")).first()["status"] == "warn"
-    assert Q.report(Q.scan(df, [Q.not_null("k")])).first()["line"].startswith("FAIL rule k_not_null")
+    assert Q.report(Q.scan(df, [Q.not_null("k")])).first()["line"].startswith("FAIL k_not_null")
 
 
 def test_entry(spark, sf_dir):
