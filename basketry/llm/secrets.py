@@ -53,37 +53,39 @@ def randomness(s: str) -> float:
 
 
 def lexed(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach a sensitive name. Work grows with the text: each name keeps its literals' spans once."""
+    """(start, end, score) of the literals that reach a sensitive name. Work grows with the text, however long a chain of names is: a second pass,
+    from the last assignment to the first, hands each one's sensitivity on to those it names."""
     if not MARKS.search(text):
         return []
-    constants: dict[str, tuple] = {}  # name -> the spans of the literals in its value; a later assignment replaces it
-    best: dict[tuple[int, int], float] = {}
+    latest: dict[str, int] = {}  # name -> its last assignment so far
+    literals, named, weights = [], [], []  # of each assignment: its own literals' spans, the assignments it names, all earlier, and its sensitivity
     for m in [*PAIR.finditer(text), *TAG.finditer(text)]:
-        name, at, spans = m["name"], m.start("value"), []
+        at, own, uses = m.start("value"), [], []
         if m.re is TAG:
-            spans = [m.span("value")]
+            own.append(m.span("value"))
         else:
             for p in PART.finditer(m["value"]):
                 a, b = at + p.start(), at + p.end()
                 if p["quoted"]:
-                    spans.append((a + 1, b - 1))
-                elif p["name"]:
-                    if p["name"] in constants:
-                        spans += constants[p["name"]]
-                    else:
-                        spans.append((a, b))
+                    own.append((a + 1, b - 1))
+                elif p["name"] in latest:
+                    uses.append(latest[p["name"]])
                 else:
-                    spans.append((a, b))
-                if len(spans) > 64:  # a chain of concatenations: its parts are all known; each was scored where it stood
-                    break
-        spans = [(a, b) for a, b in spans if b - a >= 6]
-        constants[name] = tuple(spans)
-        if (weight := sensitivity(name)) >= 0.5:
-            for a, b in spans:
-                score = weight * (0.5 + randomness(text[a:b]))
+                    own.append((a, b))
+        latest[m["name"]] = len(weights)
+        literals.append([(a, b) for a, b in own if b - a >= 6])
+        named.append(uses)
+        weights.append(sensitivity(m["name"]))
+    out = []
+    for i in range(len(weights) - 1, -1, -1):
+        for j in named[i]:
+            weights[j] = max(weights[j], weights[i])
+        if weights[i] >= 0.5:
+            for a, b in literals[i]:
+                score = weights[i] * (0.5 + randomness(text[a:b]))
                 if score >= SCORE:
-                    best[a, b] = max(score, best.get((a, b), 0.0))
-    return [(a, b, s) for (a, b), s in best.items()]
+                    out.append((a, b, score))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

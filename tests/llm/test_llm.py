@@ -92,6 +92,17 @@ def test_secrets():
     assert secrets.scan("") == ([], []) and secrets.redact("none", []) == "none"
 
 
+def test_secrets_follow_long_chains():
+    parts = [f"p{i:03}" for i in range(300)]
+    lines = [f'{p} = "abc123XYZ{p}"' for p in parts]
+    wide = "\n".join([*lines, "password = " + " + ".join(parts)])
+    deep = "\n".join([lines[0], *(f'{q} = {p} + "abc123XYZ{q}"' for p, q in zip(parts, parts[1:])), f"password = {parts[-1]}"])
+    double = "\n".join([lines[0], *(f"{q} = {p} + {p}" for p, q in zip(parts, parts[1:])), f"password = {parts[-1]}"])
+    for text, n in ((wide, 300), (deep, 300), (double, 1), ("\n".join(lines), 0)):
+        found = {text[a:b] for a, b, _ in secrets.lexed(text)}
+        assert found == {f"abc123XYZ{p}" for p in parts[:n]}
+
+
 def test_secret_rows(docs, empty):
     assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in secrets.find_secrets(docs).collect() if r["doc_id"] in (0, 1))
     assert secrets.redacted(docs).count() == docs.count() and secrets.redacted(empty).columns == docs.columns
