@@ -257,14 +257,14 @@ class WordCodec:
                 words = self.pat.findall(p.lower())
             elif COMMON.fullmatch(p):  # letter by letter: no final sigma
                 words = self.pat.findall(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower())
-            else:  # rarer scripts: the library's own tables say what is a letter; the words come as byte letters
-                words = ["\0" + w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(p))]
+            else:  # rarer scripts: the library's own tables say what is a letter; the words come as byte letters, after a space, which no other word holds
+                words = [" " + w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(p))]
             found = list(map(self.cache.get, words))
             if None in found:
                 for i, x in enumerate(found):
                     if x is None:
                         w = words[i]
-                        found[i] = self.cache.get(w) or self.word(w, w[1:] if w[0] == "\0" else w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters))
+                        found[i] = self.cache.get(w) or self.word(w, w[1:] if w[0] == " " else w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters))
             out += found
         return b"".join(out)
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -43,6 +43,8 @@ codec, library = bpe.WordCodec(WORD), Tokenizer.from_file(WORD)
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
+@example("\0")
+@example("a \0\0b \u0e01\0")
 def test_bpe_equals_the_library(s):
     ids = np.frombuffer(codec.ids(s), "<u4").tolist()
     want = library.encode(s, add_special_tokens=False).ids
