@@ -261,6 +261,8 @@ def test_repeats(spark, monkeypatch):
         kept = passage.encode() if x["doc_id"] is None else want[x["doc_id"]]
         assert bytes(x["kept"]) == kept and x["n_removed"] == x["n_bytes"] - len(kept) and x["kept_sha256"] == hashlib.sha256(kept).hexdigest()
     assert suffixes.remove_repeats(df.filter("false")).count() == 0
+    for few in ("doc_id < 3", "doc_id IS NULL"):  # blocks without an anchor
+        assert all(x["n_removed"] == 0 for x in suffixes.remove_repeats(df.filter(few)).collect())
 
 
 ITEM = "In the garden Mary has 5 apples and 7 pears, and she gives Peter 5 apples for 3 dollars; how many pears are left with Mary then?"
