@@ -70,23 +70,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links, as (node, component) with the smallest node of each.
 
-    Every round each node takes the smallest label among its neighbours' and then jumps to its label's label; the rounds needed
-    grow with the logarithm of a path's length. Links that repeat or join a node to itself are harmless; no links give no rows.
+    Large-star and small-star by turns: each node ties its larger neighbours, then its smaller ones and itself, to the smallest of them
+    all, until every link leads to its component's smallest node. The links never grow in number, and the rounds needed grow with a power of
+    the logarithm of the nodes, in whatever order their ids lie. Links that repeat or join a node to itself are harmless; no links give no rows.
     """
-    both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    both = both.union(both.select("v", "u"))
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("l")))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("v"), "l"), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
-        step = label.join(near, "node").select("node", "l", F.least("l", "m").alias("m"))
-        up = label.select(F.col("node").alias("m"), F.col("l").alias("ll"))
-        step = cut(step.join(up, "m", "left").select("node", F.col("l").alias("was"), F.least("m", "ll").alias("l")))
-        label = step.select("node", "l")
-        if step.filter("l <> was").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return label.select("node", F.col("l").alias("component"))
+    x, y = F.col(a), F.col(b)
+    links = cut(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u <> v").distinct())  # u is the larger one
+    while not _stars(links):
+        both = links.union(links.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
+        links = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = links.groupBy("u").agg(F.min("v").alias("m"))
+        links = cut(links.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether each node that has a smaller neighbour has that one only, and no larger one."""
+    ends = links.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()

@@ -317,6 +317,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_shuffled_paths(spark):
+    ids = random.Random(8).sample(range(10_000), 3_000)
+    links = [*zip(ids[:2_000], ids[1:2_000]), *zip(ids[2_000:], ids[2_001:])]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids[:2_000], min(ids[:2_000])), **dict.fromkeys(ids[2_000:], min(ids[2_000:]))}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 
