@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, mix, small_batches, table
+from .common import cut, map_rows, mix, small_batches, table
 
 WINDOW = 5
 SHARE = 0.8
@@ -160,10 +160,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", col
     """
     items = _items(benchmark, item)
     known = _small(items)
+    if known is None:
+        d, best = _by_shuffle(docs, items, key, column, item, share)
+        out = d.join(best, "_row", "left").withColumn("items", F.coalesce("items", F.array().cast(best.schema["items"].dataType)))
+        return out.select(key, F.size("items").cast("long").alias("n_items"), "items", F.coalesce("best_share", F.lit(0.0)).alias("best_share"), (F.size("items") > 0).alias("contaminated"))
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"{key} {kind}, n_items long, items array<{item_kind}>, best_share double, contaminated boolean"
-    if known is None:
-        return _by_shuffle(docs, items, key, column, item, share, schema)
 
     def make():
         b = Benchmark(pickle.loads(known.value))
@@ -178,14 +180,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", col
     return map_rows(docs, [key, column], schema, make)
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, key: str, column: str, item: str, share: float, schema: str) -> DataFrame:
-    """For a benchmark that is too large to broadcast: a join of window hashes finds (row, item) pairs, whose texts are then compared."""
+def _by_shuffle(docs: DataFrame, items: DataFrame, key: str, column: str, item: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """For a benchmark that is too large to broadcast: the rows with a hash of their own, _row, and (_row, items, best_share) of those that match in part.
+
+    A join of window hashes finds (row, item) pairs, whose texts are then compared; short items have windows of their own length, so texts get those too.
+    """
     small_batches(docs.sparkSession)
-    d = docs.select(key, column, F.xxhash64(key, column).alias("_row"))
-    left = _windows(d, "_row", column).select("_row", F.explode("hashes").alias("_h"))
-    each = _windows(items, item, "text").withColumnRenamed(item, "_item")
-    right, size = each.select("_item", F.explode("hashes").alias("_h")), each.select("_item", F.size("hashes").alias("_n"))
-    pairs = left.join(right, "_h").groupBy("_row", "_item").agg(F.count("*").alias("_k")).join(size, "_item").filter(F.col("_k") >= share * F.col("_n")).select("_row", "_item")
+    d = docs.withColumn("_row", F.xxhash64(key, column))
+    each = cut(_windows(items, item, "text", None).withColumnRenamed(item, "_item"))
+    short = [r["n_words"] for r in each.filter(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()]  # WINDOW - 1 lengths at most
+    left = _windows(d, "_row", column, [WINDOW, *short]).select("_row", F.explode("hashes").alias("_h"))
+    pairs = left.join(each.select("_item", F.explode("hashes").alias("_h")), "_h").select("_row", "_item").distinct()
     both = pairs.join(items.select(F.col(item).alias("_item"), F.col("text").alias("_t")), "_item").join(d.select("_row", F.col(column).alias("_d")).dropDuplicates(["_row"]), "_row")
 
     def make():
@@ -196,21 +201,21 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, key: str, column: str, item:
         return row
 
     scored = map_rows(both, ["_row", "_item", "_d", "_t"], f"_row long, _item {items.schema[item].dataType.simpleString()}, _s double", make)
-    best = scored.groupBy("_row").agg(F.array_sort(F.collect_list(F.when(F.col("_s") >= share, F.col("_item")))).alias("items"), F.max("_s").alias("best_share"))
-    none = F.array().cast(best.schema["items"].dataType)
-    out = d.select("_row", key).join(best, "_row", "left").withColumn("items", F.coalesce("items", none))
-    return out.select(key, F.size("items").cast("long").alias("n_items"), "items", F.coalesce("best_share", F.lit(0.0)).alias("best_share"), (F.size("items") > 0).alias("contaminated"))
+    return d, scored.groupBy("_row").agg(F.array_sort(F.collect_set(F.when(F.col("_s") >= share, F.col("_item")))).alias("items"), F.max("_s").alias("best_share"))
+
 
+def _windows(df: DataFrame, key: str, column: str, sizes: list[int] | None) -> DataFrame:
+    """(key, hashes, n_words): hashes of windows of these sizes, where the text is long enough; without sizes, of WINDOW words or of all that a shorter text has."""
 
-def _windows(df: DataFrame, key: str, column: str) -> DataFrame:
     def make():
         def row(k, text):
             ids = np.array([word_id(w) for w in template(text or "")[0]], np.uint64)
-            return k, np.unique(window_hashes(ids)).view(np.int64).tolist()
+            found = [window_hashes(ids, n) for n in sizes if n <= len(ids)] if sizes else [window_hashes(ids)]
+            return k, np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64).tolist(), len(ids)
 
         return row
 
-    return map_rows(df, [key, column], f"{key} {df.schema[key].dataType.simpleString()}, hashes array<long>", make)
+    return map_rows(df, [key, column], f"{key} {df.schema[key].dataType.simpleString()}, hashes array<long>, n_words int", make)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", item: str = "item_id", share: float = SHARE) -> DataFrame:
@@ -218,8 +223,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     items = _items(benchmark, item)
     known = _small(items)
     if known is None:
-        bad = contaminated(docs, benchmark, key, column, item, share).filter("contaminated").select(F.col(key).alias("_bad")).distinct()
-        return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+        d, best = _by_shuffle(docs, items, key, column, item, share)
+        return d.join(best.filter(F.size("items") > 0), "_row", "left_anti").select(*docs.columns)
     small_batches(docs.sparkSession)
     at = docs.columns.index(column)
 

@@ -291,6 +291,21 @@ def test_decontamination_rows(spark, docs, empty, monkeypatch):
     assert far == got
 
 
+def test_decontamination_is_the_same_by_shuffle(spark, monkeypatch):
+    whole = "alpha beta gamma delta omega sigma kappa theta iota zeta alpha gamma"
+    rows = [(0, f"x y {whole} z"), (1, " ".join(whole.split()[:8])), (2, "it is one small step then"), (3, "one small"), (4, None), (5, ""), (6, "nothing of the kind at all"), (None, whole), (None, "clean words only in here"), (7, "small step"), (7, "no words alike"), (8, "solo")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, whole), (2, "small step"), (3, "solo"), (4, "is one small step"), (5, None), (6, ""), (None, whole), (7, "alpha beta gamma delta omega and more of it"), (1, whole)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    near, kept = order(decontaminate.contaminated(d, b)), order(decontaminate.clean(d, b))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert order(decontaminate.contaminated(d, b)) == near and order(decontaminate.clean(d, b)) == kept
+    by = {k: (items, best) for k, _, items, best, _ in near if k is not None and k != 7}
+    assert by[2][0] == [2, 4] and by[8][0] == [3] and by[1][0] == [] and 0 < by[1][1] < decontaminate.SHARE and by[6] == ([], 0.0)
+    assert {r[0] for r in kept} == {1, 3, 4, 5, 6, 7, None} and len(kept) == 7
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     rows, marks = [], []
