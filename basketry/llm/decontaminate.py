@@ -1,6 +1,6 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, names and units become typed placeholders; windows of WINDOW words of the templates are hashed and joined with the windows
+Numbers, names and units become typed placeholders; a capitalised word that starts a sentence is read both as itself and as a name. Windows of WINDOW words of the templates are hashed and joined with the windows
 of the benchmark. A document that holds SHARE or more of an item's windows, in places whose slots fit, is contaminated: within one
 copy of the item each benchmark value must stand for one value of the document and no two for the same, so a question with other
 numbers and names is caught, and a text that only shares its wording's frame is not.
@@ -37,9 +37,10 @@ WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+(?:[.,/:]\p{N}+)*|[%$€£]|[.!?:\n]"
 STOPS = frozenset(".!?:\n")
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """(canonical words, the values they stand for). A capitalised word is a name where no sentence starts; a unit is one beside a number."""
-    words, values = [], []
+def template(text: str) -> tuple[list[str], list[str], list[bool]]:
+    """(canonical words, the values they stand for, whether a word may be a name too). A capitalised word is a name where no sentence starts, and may be
+    one where a sentence does; a unit is one beside a number."""
+    words, values, maybe = [], [], []
     fresh, number = True, False
     for w in WORD.findall(text):
         if w in STOPS:
@@ -51,28 +52,52 @@ def template(text: str) -> tuple[list[str], list[str]]:
         elif number and low in UNITS:
             c, number = UNIT, False
         else:
-            c, number = (NAME if not fresh and len(w) > 1 and w[0].isupper() and w[1:].islower() else low), False
-        words.append(c)
+            c, number = low, False
+        name = c == low and len(w) > 1 and w[0].isupper() and w[1:].islower()
+        words.append(NAME if name and not fresh else c)
         values.append(low)
+        maybe.append(name and fresh)
         fresh = False
-    return words, values
+    return words, values, maybe
 
 
-def window_hashes(ids: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """A hash for each window of word hashes; a shorter text has one window, of all its words."""
-    if not len(ids):
-        return np.zeros(0, np.uint64)
-    n, k = max(1, len(ids) - size + 1), min(size, len(ids))
-    h = np.full(n, k, np.uint64)
+def window_hashes(ids: np.ndarray, maybe: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, places read as names as bits, hash) for each reading of each window of word hashes; a shorter text has one window, of all its words.
+
+    Each word that may be a name is read as itself and as a name; a word with hash 0 is not known and has no reading as itself. Readings with such a
+    name need a word that is no placeholder, or two in windows of fewer than WINDOW words: else a title or "Thanks" would match any names.
+    The windows' readings without such a name come first, in order.
+    """
+    n, k = len(ids) - min(size, len(ids)) + 1, min(size, len(ids))
+    at, readable = np.arange(n if k else 0), (ids != 0) | maybe
+    for j in range(k):
+        at = at[readable[at + j]]
+    named, h = np.zeros(len(at), np.int64), np.full(len(at), k, np.uint64)
     for j in range(k):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n])
-    return h
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        x, other = ids[at + j], maybe[at + j]
+        if not other.any():
+            h = mix(h + x)
+            continue
+        own = x != 0
+        as_name = (at[other], named[other] | 1 << j, mix(h[other] + NAME_ID))
+        at, named, h = (np.concatenate(c) for c in zip((at[own], named[own], mix(h[own] + x[own])), as_name))
+    if not named.any():
+        return at, named, h
+    word = ~np.isin(ids, SLOT_IDS)
+    plain = sum(word[at + j] & ((named >> j & 1) == 0) for j in range(k))
+    ok = (named == 0) | (plain >= (1 if k == WINDOW else 2))
+    return at[ok], named[ok], h[ok]
 
 
 def word_id(w: str) -> int:
     return xxhash.xxh64_intdigest(w) | 1
 
 
+NAME_ID = np.uint64(word_id(NAME))
+SLOT_IDS = np.array([word_id(w) for w in (NUM, NAME, UNIT)], np.uint64)
+
+
 class Benchmark:
     """Windows of the items, by hash, and the items' words and values."""
 
@@ -80,42 +105,37 @@ class Benchmark:
         self.words: dict[str, int] = {NUM: word_id(NUM), NAME: word_id(NAME), UNIT: word_id(UNIT)}
         self.items, self.where = {}, defaultdict(list)
         for key, text in items:
-            words, values = template(text or "")
+            words, values, maybe = template(text or "")
             if not words or key is None:
                 continue
             ids = np.array([word_id(w) for w in words], np.uint64)
             self.words.update(zip(words, map(int, ids)))
-            h = window_hashes(ids)
-            self.items[key] = (words, values, len({*h.tolist()}))
-            for at, x in enumerate(h.tolist()):
-                self.where[x].append((key, at))
+            at, named, h = (c.tolist() for c in window_hashes(ids, np.array(maybe, bool)))
+            plain = [x for x, bits in zip(h, named) if not bits]  # a window counts once, however it is read
+            self.items[key] = (words, values, len({*plain}))
+            for q, bits, x in zip(at, named, h):
+                self.where[x].append((key, q, bits, plain[q]))
         self.hashes = np.array(sorted(self.where), np.uint64)
         self.short = min((len(w) for w, _, _ in self.items.values()), default=WINDOW) < WINDOW
 
     def matches(self, text: str) -> list[tuple]:
         """(item, share of its windows found with slots that fit, slots bound, first and last word) for each item that text holds at least in part."""
-        words, values = template(text)
+        words, values, maybe = template(text)
         get = self.words.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
+        ids, maybe = np.array([get(w, 0) for w in words], np.uint64), np.array(maybe, bool)
         if not len(ids) or not len(self.hashes):
             return []
         found: dict = defaultdict(list)
         for size in {WINDOW, *({len(w) for w, _, _ in self.items.values() if len(w) < WINDOW} if self.short else ())}:
-            n = len(ids) - size + 1
-            if n < 1:
+            if len(ids) < size:
                 continue
-            known = np.ones(n, bool)
-            for j in range(size):
-                known &= ids[j : j + n] != 0
-            at = np.flatnonzero(known)
+            at, _, h = window_hashes(ids, maybe, size)
             if len(at):
-                h = np.full(len(at), size, np.uint64)
-                for j in range(size):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[at + j])
                 i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                for p, x in zip(at[self.hashes[i] == h].tolist(), h[self.hashes[i] == h].tolist()):
-                    for key, q in self.where[x]:
-                        found[key].append((p, q, x))
+                hit = self.hashes[i] == h
+                for p, x in zip(at[hit].tolist(), h[hit].tolist()):
+                    for key, q, bits, own in self.where[x]:
+                        found[key].append((p, q, own, bits))
         out = []
         for key, hits in found.items():
             if best := self.best(key, hits, values):
@@ -127,16 +147,16 @@ class Benchmark:
         words, own, total = self.items[key]
         places: dict[int, list] = defaultdict(list)
         slack = max(2, len(words) // 8)  # words put in or left out move the rest of a copy
-        for p, q, x in hits:
-            places[(p - q) // slack].append((p, q, x))
+        for p, q, x, bits in hits:
+            places[(p - q) // slack].append((p, q, x, bits))
         best = None
         for k in places:
             near = sorted(places[k] + places.get(k + 1, []))
-            if best and len({x for _, _, x in near}) / total <= best[0]:
+            if best and len({x for _, _, x, _ in near}) / total <= best[0]:
                 continue
             to: dict[str, Counter] = defaultdict(Counter)
             size = min(WINDOW, len(words))
-            slots = [[(words[q + j], own[q + j], values[p + j]) for j in range(size) if words[q + j] in (NUM, NAME, UNIT)] for p, q, _ in near]
+            slots = [[(NAME if bits >> j & 1 else words[q + j], own[q + j], values[p + j]) for j in range(size) if bits >> j & 1 or words[q + j] in (NUM, NAME, UNIT)] for p, q, _, bits in near]
             for s in slots:
                 for kind, a, b in s:
                     to[kind, a][b] += 1
@@ -145,7 +165,7 @@ class Benchmark:
                 if ka not in bound and (ka[0], b) not in taken:
                     bound[ka] = b
                     taken.add((ka[0], b))
-            fits = {x for (_, _, x), s in zip(near, slots) if all(bound.get((kind, a)) == b for kind, a, b in s)}
+            fits = {x for (_, _, x, _), s in zip(near, slots) if all(bound.get((kind, a)) == b for kind, a, b in s)}
             share = len(fits) / total
             if best is None or share > best[0]:
                 best = (share, len(bound), near[0][0], near[-1][0] + size)
@@ -209,8 +229,9 @@ def _windows(df: DataFrame, key: str, column: str, sizes: list[int] | None) -> D
 
     def make():
         def row(k, text):
-            ids = np.array([word_id(w) for w in template(text or "")[0]], np.uint64)
-            found = [window_hashes(ids, n) for n in sizes if n <= len(ids)] if sizes else [window_hashes(ids)]
+            words, _, maybe = template(text or "")
+            ids, maybe = np.array([word_id(w) for w in words], np.uint64), np.array(maybe, bool)
+            found = [window_hashes(ids, maybe, n)[2] for n in (sizes or [WINDOW]) if not sizes or n <= len(ids)]
             return k, np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64).tolist(), len(ids)
 
         return row

@@ -280,6 +280,25 @@ def test_decontamination(text, bad):
     assert (share >= decontaminate.SHARE) == bad
 
 
+STARTS = "{0} picks {2} apples in the garden every day. {0} then sells {3} of them for {4} dollars at the market. {1} buys the rest. How many apples does {1} buy from {0} in a week?"
+ONLY_STARTS = "{0} picks {2} apples in the garden every day and eats one. {1} sells {3} of them for {4} dollars at the market. {0} buys the rest of them. How many are left?"
+
+
+@pytest.mark.parametrize("item", [STARTS, ONLY_STARTS])
+def test_names_that_start_sentences(item):
+    b = decontaminate.Benchmark([(1, item.format("Mary", "Peter", 5, 3, 2))])
+    share = lambda text: max((s for _, s, *_ in b.matches(text)), default=0)
+    assert share(item.format("Anna", "Boris", 9, 4, 7)) == share(item.format("Mary", "Peter", 5, 3, 2)) == 1
+    assert share("and then, " + item.format("Anna", "Boris", 9, 4, 7)) == 1
+    assert share(item.format("Anna", "Anna", 9, 4, 7)) < 1  # one name cannot stand for two
+
+
+def test_short_items_are_not_read_as_names_alone():
+    b = decontaminate.Benchmark([(1, "Yes"), (2, "Thank you"), (3, "Apples\nPears\nPlums\nFigs\nDates")])
+    assert not b.matches("So then Mary met Peter. Anna\nBoris\nCarla\nDora\nEmil. Mary you know.")
+    assert {k for k, s, *_ in b.matches("they said yes. Thank you") if s == 1} == {1, 2}
+
+
 def test_decontamination_rows(spark, docs, empty, monkeypatch):
     b = spark.createDataFrame([(1, TEXTS[10] + " and of them"), (2, None), (None, LONG)], "item_id long, text string")
     got = {r["doc_id"]: r["contaminated"] for r in decontaminate.contaminated(docs, b, share=0.4).collect()}
