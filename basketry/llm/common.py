@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -28,13 +29,31 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session; a folder is made only where none is set."""
+    """Cut the lineage through the shared checkpoint folder that spark.checkpoint.dir names. Only a session on one machine may go without: it gets a folder of its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()
 
 
+def cut_plainly(df: DataFrame) -> DataFrame:
+    """cut() without what Catalyst estimated: in a loop of joins the estimates would be squared every round."""
+    done = cut(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), df.sparkSession)
+
+
+def lookup(rows: DataFrame, about: DataFrame, on: str, heavy: Column, most: int) -> DataFrame:
+    """rows join about, which has one row for each value of on. The values that heavy holds for, most at most, are broadcast, so no hot value meets in one task."""
+    hot = about.filter(heavy).limit(most + 1).count()
+    if not hot or hot > most:
+        return rows.join(about, on)
+    many = F.broadcast(about.filter(heavy))
+    return rows.join(many, on).unionByName(rows.join(many.select(on), on, "left_anti").join(about.filter(~heavy), on))
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, make: Callable[[], Callable]) -> DataFrame:
     """One output row for each input row. make() runs once in each task and gives a function from the row's values to a tuple."""
     small_batches(df.sparkSession)
@@ -78,13 +97,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the logarithm of the nodes, in whatever order their ids lie. Links that repeat or join a node to itself are harmless; no links give no rows.
     """
     x, y = F.col(a), F.col(b)
-    links = cut(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u <> v").distinct())  # u is the larger one
+    links = cut_plainly(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u <> v").distinct())  # u is the larger one
     while not _stars(links):
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
-        links = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        links = cut_plainly(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = links.groupBy("u").agg(F.min("v").alias("m"))
-        links = cut(links.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())
+        links = cut_plainly(links.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct())
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
 
 

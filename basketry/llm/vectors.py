@@ -1,13 +1,15 @@
 """Embedding near-duplicates by product quantisation.
 
-Equal vectors are made one first. Centroids of coarse lists and codes for the residuals' subspaces are fitted on a bounded sample;
-every vector is indexed: in the list of its nearest centroid, with a code of SUBSPACES bytes and the length of what the code leaves
-out. A vector probes the lists whose centroid is nearly as near as its own list's, at least PROBES of them. In a probed list the
-asymmetric distance, from tables for the query, keeps each code that can still lie within the threshold, given what the code leaves
-out, so the codes lose no pair; what is kept is compared exactly, in double precision.
-
-Lists are cut into blocks of at most about BLOCK vectors, and their queries too, so one crowded place spreads over many tasks. A block
-returns sums and the links of a spanning forest, never all its pairs; each pair is judged in exactly one block.
+Equal vectors are made one first. The coarse lists are the cells of two codebooks, one for each half of the dimensions, so their
+number grows with the table while the codebooks, like the codes of the residuals' subspaces, are fitted on a bounded sample. Every vector
+is indexed: in the list of its nearest cell, with a code of SUBSPACES bytes and the length of what the code leaves out, and its code, not the
+vector itself, visits the PROBES nearest cells. There each vector of the list is a query: asymmetric distances, looked up in tables of the
+query's products with all code words, keep each code that can still lie within the threshold, given what it leaves out, so the codes lose no
+pair; only probing can. The raw vectors of what was kept are then fetched once for each list and compared exactly, in double precision.
+
+Lists are cut into blocks of at most about BLOCK vectors, and their visitors too, so one crowded place spreads over many tasks. A block
+returns sums and the links of a spanning forest, never all its pairs; each pair is judged in exactly one block. Lengths of vectors are
+indexed apart; those beyond the MOST_LENGTHS most frequent ones have a single list each.
 """
 
 from __future__ import annotations
@@ -18,19 +20,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import arrow_schema, batch, components, cut, table
+from .common import arrow_schema, batch, components, cut, lookup, small_batches, table
 
 THRESHOLD = 0.9
-#: Vectors that centroids and codes are fitted on, at most.
+#: Vectors that codebooks are fitted on, at most, for each of the MOST_LENGTHS most frequent lengths.
 SAMPLE = 16_384
+MOST_LENGTHS = 8
+#: Vectors a list on average, and code words of a half at most: the lists are its square.
 PER_LIST = 128
-MOST_LISTS = 16_384
+MOST_WORDS = 512
 SUBSPACES = 8
 CODES = 256
-PROBES = 8
-MARGIN = 0.3
-BLOCK = 2_048
+PROBES = 16
+BLOCK = 8_192
+#: Equal vectors that make up more than one of so many of all rows are looked up by broadcast.
+HEAVY = 1_000
+CELLS = 1 << 40
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = 8, seed: int = 5) -> np.ndarray:
@@ -47,173 +54,230 @@ def kmeans(x: np.ndarray, k: int, steps: int = 8, seed: int = 5) -> np.ndarray:
 
 
 class Quantiser:
-    def __init__(self, x: np.ndarray, lists: int):
-        """x: a sample of unit vectors."""
-        self.dim = x.shape[1]
-        self.centroids = kmeans(x, lists)
-        self.cuts = np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim))
-        r = x - self.centroids[self.nearest(x)[0]]
+    def __init__(self, x: np.ndarray, words: int):
+        """x: a sample of unit vectors; words: code words of each half."""
+        dim = x.shape[1]
+        self.halves = np.array_split(np.arange(dim), min(2, dim))
+        self.coarse = [kmeans(x[:, h], words) for h in self.halves]
+        self.cuts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
+        cell = self.nearest(x, 1)[:, 0]
+        r = x - self.centre(cell)
         self.books = [kmeans(r[:, c], CODES) for c in self.cuts]
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(0, 1 + (self.centroids * self.centroids).sum(1) - 2 * (x.astype(np.float32) @ self.centroids.T))
+    def split(self, cell: np.ndarray) -> list[np.ndarray]:
+        """The code word of each half."""
+        return [cell] if len(self.coarse) == 1 else [cell // len(self.coarse[1]), cell % len(self.coarse[1])]
+
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return np.concatenate([c[w] for c, w in zip(self.coarse, self.split(cell))], axis=1)
 
-    def nearest(self, x: np.ndarray):
-        d = self.distances(x)
-        return np.argmin(d, axis=1), d
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest cells of each vector, in order: they lie among the n nearest words of each half."""
+        cell, d = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
+        for c, h in zip(self.coarse, self.halves):
+            own = (c * c).sum(1) - 2 * (x[:, h].astype(np.float32) @ c.T)
+            near = np.argsort(own, axis=1, kind="stable")[:, :n]
+            d = (d[:, :, None] + np.take_along_axis(own, near, 1)[:, None, :]).reshape(len(x), -1)
+            cell = (cell[:, :, None] * len(c) + near[:, None, :]).reshape(len(x), -1)
+            first = np.argsort(d, axis=1, kind="stable")[:, :n]
+            d, cell = np.take_along_axis(d, first, 1), np.take_along_axis(cell, first, 1)
+        return cell
 
-    def encode(self, x: np.ndarray, at: np.ndarray):
-        """Codes, and the length of what they leave out."""
-        r = x - self.centroids[at]
+    def encode(self, x: np.ndarray, cell: np.ndarray):
+        """Codes, the squared length of what they stand for, and the length of what they leave out."""
+        r = (x - self.centre(cell)).astype(np.float32)
         codes = np.empty((len(x), len(self.cuts)), np.uint8)
-        left = np.zeros(len(x))
         for m, (c, b) in enumerate(zip(self.cuts, self.books)):
-            d = (b * b).sum(1) - 2 * (r[:, c].astype(np.float32) @ b.T)
-            codes[:, m] = np.argmin(d, axis=1)
-            left += ((r[:, c] - b[codes[:, m]]) ** 2).sum(1)
-        return codes, np.sqrt(left)
-
-    def probes(self, d: np.ndarray) -> list[np.ndarray]:
-        k = min(PROBES, d.shape[1])
-        near = np.partition(d, k - 1, axis=1)[:, k - 1]
-        bound = np.maximum(near, d.min(axis=1) + MARGIN)
-        return [np.flatnonzero(row <= b).astype(np.int32) for row, b in zip(d, bound)]
-
-    def asymmetric(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances from each query to each code of the list, by table lookup."""
-        r = (q - self.centroids[at]).astype(np.float32)
-        out = np.zeros((len(q), len(codes)), np.float32)
+            codes[:, m] = np.argmin((b * b).sum(1) - 2 * (r[:, c] @ b.T), axis=1)
+        y = self.decode(cell, codes)
+        return codes, (y * y).sum(1), np.linalg.norm(x - y, axis=1)
+
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        y = self.centre(cell).astype(np.float64)
         for m, (c, b) in enumerate(zip(self.cuts, self.books)):
-            t = (r[:, c] ** 2).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (r[:, c] @ b.T)
-            out += t[:, codes[:, m]]
-        return out
+            y[:, c] += b[codes[:, m]]
+        return y
 
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Products of each query with all code words: of the halves, then of the subspaces."""
+        q = q.astype(np.float32)
+        return [q[:, h] @ c.T for c, h in zip(self.coarse, self.halves)] + [q[:, c] @ b.T for c, b in zip(self.cuts, self.books)]
 
-def unit(cells: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(cells), "<f8").reshape(len(cells), -1)
+    def asymmetric(self, tables: list[np.ndarray], cell: np.ndarray, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Squared distances from each query to each code, by table lookup."""
+        dot = np.zeros((len(tables[0]), len(cell)), np.float32)
+        for t, w in zip(tables, [*self.split(cell), *codes.T]):
+            dot += t.take(w, axis=1)
+        return 1 + size[None, :] - 2 * dot
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """(node, smallest node of its part) for nodes that have links, by label passing within one block."""
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def unpack(cells: list[bytes], kind: str) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(cells), kind).reshape(len(cells), -1).astype(np.float64))
+
+
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, the smallest place of each part, after the parts of a and b are joined."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def close(v: np.ndarray, f: np.ndarray, lo: slice, among: slice, threshold: float) -> np.ndarray:
+    """Which cosines reach the threshold, in double precision: single precision decides all that lie further from it than it can err."""
+    s = f[lo] @ f[among].T
+    err = 2.0**-23 * (v.shape[1] + 4)
+    near = s >= threshold + err
+    i, j = np.nonzero((s >= threshold - err) & ~near)
+    if len(i):
+        near[i, j] = np.einsum("ij,ij->i", v[lo][i], v[among][j]) >= threshold
+    return near
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_links, component_id, kept) for each row.
 
-    Vectors that are null, empty or zero, hold null or non-finite components, or differ in length from the most of them (of equally
-    many, the shorter) link with nothing; so do rows with a null key, whose component is null and which are kept. Repeated rows are vectors of their
+    Vectors that are null, empty or zero or hold null or non-finite components link with nothing, and vectors of different lengths do not link;
+    neither do rows with a null key, whose component is null and which are kept. Repeated rows are vectors of their
     own, linked with each other, and all are returned. Extra columns are no matter; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     e = F.col("e")
-    rows = vectors.select(F.col(key).alias("id"), F.transform(column, lambda v: v.cast("double") + F.lit(0.0)).alias("e"))
+    single = isinstance(vectors.schema[column].dataType.elementType, FloatType)
+    kind, held = ("<f4", "float") if single else ("<f8", "double")
+    rows = vectors.select(F.col(key).alias("id"), F.transform(column, lambda v: v.cast(held) + F.lit(0.0).cast(held)).alias("e"))
     sound = F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False)) & F.col("id").isNotNull()
-    sizes = rows.filter(sound).groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    none = lambda df: df.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
-        return none(rows)
-    sound = sound & (F.size("e") == sizes["n"])
-    one = cut(rows.filter(sound).groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
-    n = one.count()
-    shared = {"t": float(threshold), "far": float(np.sqrt(max(0.0, 2 - 2 * threshold)))}
-    pack = F.transform(e, lambda v: v)
-    sample = [r["e"] for r in one.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("e").collect()]
-    x = np.array(sample)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lists = int(max(1, min(MOST_LISTS, n // PER_LIST, len(x) // 8 or 1)))
-    quantiser = spark.sparkContext.broadcast(pickle.dumps(Quantiser(x, lists)))
-    shown = "rep long, m long, v binary, list int, code binary, rest double, probes array<int>"
+    none = rows.filter(~sound).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    one = cut(rows.filter(sound).groupBy("e").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("m")))
+    sizes = one.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(MOST_LENGTHS).collect()
+    quantisers = {}
+    for r in sizes:
+        place = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30))
+        few = one.filter((F.size("e") == r["d"]) & (place < int(min(1.0, 1.2 * SAMPLE / r["n"]) * (1 << 30))))
+        x = np.array([y["e"] for y in few.orderBy(place, "rep").limit(SAMPLE).select("e").collect()], np.float64)
+        if len(x):
+            words = int(np.ceil(np.sqrt(r["n"] / PER_LIST) if r["d"] > 1 else r["n"] / PER_LIST))
+            quantisers[r["d"]] = Quantiser(unit(x), max(1, min(MOST_WORDS, words, len(x) // 16 or 1)))
+    known = spark.sparkContext.broadcast(pickle.dumps(quantisers))
+    shown = "rep long, m long, v binary, list long, code binary, size float, rest float, probes array<long>"
     arrow = arrow_schema(shown)
 
     def index(batches):
-        q = pickle.loads(quantiser.value)
+        qs = pickle.loads(known.value)
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                raw = np.array(part.column(2).to_pylist(), "<f8")
-                u = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                at, d = q.nearest(u)
-                codes, rest = q.encode(u, at)
-                yield batch(arrow, part.column(0), part.column(1), [r.tobytes() for r in raw], at.astype(np.int32), [c.tobytes() for c in codes], rest, q.probes(d))
-
-    indexed = cut(one.select(F.col("rep").cast("long").alias("rep"), "m", pack.alias("e")).mapInArrow(index, shown))
+            reps, m, v = np.array(b.column(0)), np.array(b.column(1)), b.column(2)
+            d = np.diff(np.array(v.offsets))
+            for n in np.unique(d):
+                own = np.flatnonzero(d == n)
+                raw = np.array(v.take(pa.array(own)).flatten()).astype(kind).reshape(len(own), n)
+                if (q := qs.get(int(n))) is None:
+                    at, codes, size, rest = np.zeros((len(own), 1), np.int64), np.zeros((len(own), 0), np.uint8), np.zeros(len(own)), np.zeros(len(own))
+                else:
+                    u = unit(raw.astype(np.float64))
+                    at = q.nearest(u, PROBES)
+                    codes, size, rest = q.encode(u, at[:, 0])
+                at = at + int(n) * CELLS
+                yield batch(arrow, reps[own], m[own], [r.tobytes() for r in raw], at[:, 0], [c.tobytes() for c in codes], size.astype(np.float32), rest.astype(np.float32), at.tolist())
+
+    indexed = cut(one.select("rep", "m", "e").mapInArrow(index, shown))
     own = indexed.groupBy("list").agg(F.count("*").alias("own"))
     asked = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("asked"))
-    cuts = own.join(asked, "list").select("list", F.ceil(F.col("own") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("nq"))  # at most MOST_LISTS rows
-    cuts = F.broadcast(cuts)
-    spread = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    part = lambda c, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(c)).cast("int")
-    listed = indexed.join(cuts, "list").withColumn("bi", part("ni", 1)).withColumn("bq", F.explode(spread("nq"))).select(
-        "list", "bi", "bq", F.lit(False).alias("asks"), "rep", "m", "v", F.col("list").alias("home"), "code", "rest", "probes")
-    asks = indexed.withColumnRenamed("list", "home").withColumn("list", F.explode("probes")).join(cuts, "list").withColumn("bq", part("nq", 2)).withColumn("bi", F.explode(spread("ni"))).select(
-        "list", "bi", "bq", F.lit(True).alias("asks"), "rep", "m", "v", "home", "code", "rest", F.lit(None).cast("array<int>").alias("probes"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    cuts = own.join(asked, "list").select("list", blocks("own").alias("ni"), blocks("asked").alias("nq"))
+    cuts = F.broadcast(cuts.filter("ni > 1 OR nq > 1"))  # of MOST_LENGTHS x MOST_WORDS^2 lists at most, and one for each other length
+    spread = lambda c: F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)
+    part = lambda c: F.pmod(F.xxhash64("rep"), F.coalesce(c, F.lit(1))).cast("int")
+    ni, nq = F.col("ni"), F.col("nq")
+    code = ("rep", "home", "code", "size", "rest")
+    members = indexed.withColumn("home", F.col("list")).join(cuts, "list", "left").withColumns({"bi": part(ni), "bq": F.explode(spread(nq))})
+    visits = indexed.withColumnRenamed("list", "home").withColumn("list", F.explode(F.slice("probes", 2, PROBES))).join(cuts, "list", "left").withColumns({"bq": part(nq), "bi": F.explode(spread(ni))})
+    asks = members.select("list", "bi", "bq", *code, "v").unionByName(visits.select("list", "bi", "bq", *code, F.lit(None).cast("binary").alias("v")))
+    # codes of a list's own vectors are asked for by block, like visitors
+    mates = members.filter((F.col("bq") == 0) & (ni > 1)).drop("bi", "bq").withColumns({"bq": part(nq), "own": part(ni)}).withColumn("bi", F.explode(spread(ni))).filter("bi <> own")
+    asks = asks.unionByName(mates.select("list", "bi", "bq", *code, F.lit(None).cast("binary").alias("v")))
+    far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    kept_shape = "list long, rep long"
+    kept_arrow = arrow_schema(kept_shape)
+
+    def keep(t: pa.Table) -> pa.Table:
+        """The vectors of a block that may have a partner in it: queries and codes alike."""
+        at, reps = t.column("list")[0].as_py(), np.array(t.column("rep"))
+        q = pickle.loads(known.value).get(at // CELLS)
+        if q is None:
+            return pa.Table.from_batches([batch(kept_arrow, np.full(len(reps), at), reps)], kept_arrow)
+        asks = np.array(t.column("v").is_valid())
+        v = unpack(t.column("v").filter(pa.array(asks)).to_pylist(), kind) if asks.any() else np.zeros((0, at // CELLS))
+        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(reps), -1)
+        home, size = np.array(t.column("home")) % CELLS, np.array(t.column("size"))
+        reach = (far + np.array(t.column("rest")) + 1e-3) ** 2
+        ids, hit = reps[asks], np.zeros(len(reps), bool)
+        place = np.flatnonzero(asks)
+        for lo in range(0, len(v), 512):
+            near = q.asymmetric(q.tables(v[lo : lo + 512]), home, codes, size) <= reach[None, :]
+            near &= ids[lo : lo + 512, None] != reps[None, :]
+            hit |= near.any(axis=0)
+            hit[place[lo : lo + 512]] |= near.any(axis=1)
+        got = np.unique(reps[hit])
+        return pa.Table.from_batches([batch(kept_arrow, np.full(len(got), at), got)], kept_arrow)
+
+    kept = asks.groupBy("list", "bi", "bq").applyInArrow(keep, kept_shape).distinct()
+    raw = indexed.select("rep", "m", "v", F.col("list").alias("home"), "probes")
+    fetched = kept.join(raw, "rep").join(cuts.select("list", "ni"), "list", "left").withColumn("visits", F.col("list") != F.col("home"))
+    fetched = fetched.withColumns({"b": F.when(F.col("visits"), -1).otherwise(part(ni)), "o": F.explode(spread(ni))})
+    fetched = fetched.withColumns({"bi": F.when(F.col("visits"), F.col("o")).otherwise(F.least("b", "o")), "bj": F.when(F.col("visits"), F.col("o")).otherwise(F.greatest("b", "o"))})
     out_shape = "rep long, links long, low long"
     out_arrow = arrow_schema(out_shape)
-    settings = dict(shared)
 
     def compare(t: pa.Table) -> pa.Table:
-        q = pickle.loads(quantiser.value)
-        t = t.sort_by([("asks", "ascending"), ("rep", "ascending")])
-        asks = np.array(t.column("asks"))
-        n = int((~asks).sum())
-        if n == 0 or n == len(asks):
-            return out_arrow.empty_table()
-        at = t.column("list")[0].as_py()
-        reps, m, home = (np.array(t.column(c)) for c in ("rep", "m", "home"))
-        v = unit(t.column("v").to_pylist())
-        codes = np.frombuffer(b"".join(t.column("code").slice(0, n).to_pylist()), np.uint8).reshape(n, -1)
-        reach = (settings["far"] + np.array(t.column("rest"))[:n] + 1e-4) ** 2
-        probed = t.column("probes").slice(0, n).to_pylist()
-        # a pair from two lists that ask each other is judged in the list with the smaller number; from one list, once
-        mutual = {h: np.array([h in p for p in map(set, probed)]) for h in np.unique(home[n:]) if h != at}
-        ids, place = np.unique(reps, return_inverse=True)
-        links = np.zeros(len(ids), np.int64)
-        label = np.arange(len(ids))
-        for lo in range(n, len(asks), 256):
-            hi = min(lo + 256, len(asks))
-            near = q.asymmetric(v[lo:hi], at, codes) <= reach[None, :]
-            for h in np.unique(home[lo:hi]):
-                own = home[lo:hi] == h
-                if h == at:
-                    near[own] &= reps[:n][None, :] > reps[lo:hi][own][:, None]
-                elif h < at:
-                    near[own] &= ~mutual[h][None, :]
-            if not near.any():
-                continue
-            if near.mean() > 0.1:
-                i, j = np.nonzero(near & ((v[lo:hi] @ v[:n].T) >= settings["t"]))
-            else:
-                i, j = np.nonzero(near)
-                ok = np.einsum("ij,ij->i", v[lo + i], v[j]) >= settings["t"]
-                i, j = i[ok], j[ok]
-            if len(i):
-                a, b = place[lo + i], place[j]
-                np.add.at(links, a, m[j])
-                np.add.at(links, b, m[lo + i])
-                own = forest(ids, np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, label]))
-                label = own
+        t = t.sort_by([("visits", "ascending"), ("rep", "ascending")])
+        at, bi, bj = (t.column(c)[0].as_py() for c in ("list", "bi", "bj"))
+        b, reps, m, home = (np.array(t.column(c)) for c in ("b", "rep", "m", "home"))
+        n = int((b >= 0).sum())  # the list's own come first
+        v = unpack(t.column("v").to_pylist(), kind)
+        f = v.astype(np.float32)
+        probes = [np.array(p) for p in t.column("probes").slice(0, n).to_pylist()]
+        # a pair from two lists that ask each other is judged in the list with the smaller number
+        mutual = {h: np.array([h in p for p in probes], bool) for h in np.unique(home[n:]) if h < at}
+        links, label, weight = np.zeros(len(reps)), np.arange(len(reps)), m.astype(np.float64)
+        for lo in range(0, n, 512):
+            i = slice(lo, min(lo + 512, n))
+            near = close(v, f, i, slice(0, len(reps)), threshold)
+            k = np.arange(i.start, i.stop)
+            near[:, :n] &= np.arange(n)[None, :] > k[:, None]
+            if bi != bj:
+                near[:, :n] &= b[i, None] != b[None, :n]
+            for h, x in mutual.items():
+                near[:, n:][np.ix_(x[i], home[n:] == h)] = False
+            links[i] += near @ weight
+            links += weight[i] @ near
+            x, y = np.nonzero(near)
+            label = forest(label, x + lo, y)
         hit = np.flatnonzero(links)
-        return pa.Table.from_batches([batch(out_arrow, ids[hit], links[hit], ids[label[hit]])], out_arrow)
+        return pa.Table.from_batches([batch(out_arrow, reps[hit], links[hit].astype(np.int64), reps[label[hit]])], out_arrow)
 
-    found = cut(listed.unionByName(asks).groupBy("list", "bi", "bq").applyInArrow(compare, out_shape))
+    found = cut(fetched.select("list", "bi", "bj", "b", "visits", "rep", "m", "v", "home", "probes").groupBy("list", "bi", "bj").applyInArrow(compare, out_shape))
     parts = components(found, "rep", "low")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    about = one.select("e", F.col("rep").cast("long").alias("rep"), "m").join(sums, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.select("e", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    kind = vectors.schema[key].dataType
-    joined = rows.filter(sound).join(about, "e").select(F.col("id").alias(key), "n_links", F.col("component_id").cast(kind).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
-    return joined.unionByName(none(rows.filter(~sound)))
+    about = one.join(sums, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    about = about.select("e", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    key_kind = vectors.schema[key].dataType
+    total = one.agg(F.sum("m")).first()[0] or 0
+    joined = lookup(rows.filter(sound), about, "e", F.col("m") > max(HEAVY, total // HEAVY), HEAVY)
+    joined = joined.select(F.col("id").alias(key), "n_links", F.col("component_id").cast(key_kind).alias("component_id"))
+    return joined.withColumn("kept", F.col(key) == F.col("component_id")).unionByName(none)
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
