@@ -5,13 +5,15 @@ of the benchmark. A document that holds SHARE or more of an item's windows, in p
 copy of the item each benchmark value must stand for one value of the document and no two for the same, so a question with other
 numbers and names is caught, and a text that only shares its wording's frame is not.
 
-The benchmark's windows are broadcast up to BROADCAST_ROWS of them; beyond that both sides are joined by hash through a shuffle.
+The benchmark is broadcast up to BROADCAST_BYTES of text; beyond that both sides are joined by hash through a shuffle, with the same results.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, mix, small_batches, table
+from .common import arrow_schema, batch, cut, map_rows, mix, small_batches, table
 
 WINDOW = 5
 SHARE = 0.8
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 16 << 20
+#: Characters of documents that are read together.
+TOGETHER = 1 << 20
 CACHE = 300_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units and number words; fixed values of this method.
@@ -34,7 +38,21 @@ UNITS = frozenset(
 )
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+(?:[.,/:]\p{N}+)*|[%$€£]|[.!?:\n]")
+ASCII_WORD = re.compile(r"[A-Za-z]+|[0-9]+(?:[.,/:][0-9]+)*|[%$.!?:\n]")
 STOPS = frozenset(".!?:\n")
+PLAIN, NUMBER, UNITLIKE, STOP = range(4)
+
+
+def tokens(text: str) -> list[str]:
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
+
+
+def kind_of(w: str, low: str) -> int:
+    return STOP if w in STOPS else NUMBER if w[0].isdigit() or low in NUMBERS else UNITLIKE if low in UNITS else PLAIN
+
+
+def like_name(w: str) -> bool:
+    return len(w) > 1 and w[0].isupper() and w[1:].islower()
 
 
 def template(text: str) -> tuple[list[str], list[str], list[bool]]:
@@ -42,18 +60,15 @@ def template(text: str) -> tuple[list[str], list[str], list[bool]]:
     one where a sentence does; a unit is one beside a number."""
     words, values, maybe = [], [], []
     fresh, number = True, False
-    for w in WORD.findall(text):
-        if w in STOPS:
+    for w in tokens(text):
+        low = w.lower()
+        kind = kind_of(w, low)
+        if kind == STOP:
             fresh = True
             continue
-        low = w.lower()
-        if w[0].isdigit() or low in NUMBERS:
-            c, number = NUM, True
-        elif number and low in UNITS:
-            c, number = UNIT, False
-        else:
-            c, number = low, False
-        name = c == low and len(w) > 1 and w[0].isupper() and w[1:].islower()
+        c = NUM if kind == NUMBER else UNIT if kind == UNITLIKE and number else low
+        number = kind == NUMBER
+        name = c == low and like_name(w)
         words.append(NAME if name and not fresh else c)
         values.append(low)
         maybe.append(name and fresh)
@@ -69,9 +84,10 @@ def window_hashes(ids: np.ndarray, maybe: np.ndarray, size: int = WINDOW) -> tup
     The windows' readings without such a name come first, in order.
     """
     n, k = len(ids) - min(size, len(ids)) + 1, min(size, len(ids))
-    at, readable = np.arange(n if k else 0), (ids != 0) | maybe
+    ok, readable = np.ones(n if k else 0, bool), (ids != 0) | maybe
     for j in range(k):
-        at = at[readable[at + j]]
+        ok &= readable[j : j + len(ok)]
+    at = np.flatnonzero(ok)
     named, h = np.zeros(len(at), np.int64), np.full(len(at), k, np.uint64)
     for j in range(k):
         h *= np.uint64(0x9E3779B97F4A7C15)
@@ -98,50 +114,103 @@ NAME_ID = np.uint64(word_id(NAME))
 SLOT_IDS = np.array([word_id(w) for w in (NUM, NAME, UNIT)], np.uint64)
 
 
+class Codes(dict):
+    """For each token: its word's place among the known ones (0: not known), whether it looks like a name, and its kind, as one number."""
+
+    def __init__(self, places: dict[str, int]):
+        self.places = places
+
+    def __missing__(self, w: str) -> int:
+        low = w.lower()
+        code = self[w] = self.places.get(low, 0) << 3 | like_name(w) << 2 | kind_of(w, low)
+        return code
+
+
 class Benchmark:
     """Windows of the items, by hash, and the items' words and values."""
 
     def __init__(self, items: list[tuple]):
-        self.words: dict[str, int] = {NUM: word_id(NUM), NAME: word_id(NAME), UNIT: word_id(UNIT)}
+        known = {}
         self.items, self.where = {}, defaultdict(list)
         for key, text in items:
             words, values, maybe = template(text or "")
             if not words or key is None:
                 continue
             ids = np.array([word_id(w) for w in words], np.uint64)
-            self.words.update(zip(words, map(int, ids)))
+            known.update(zip(words, map(int, ids)))
             at, named, h = (c.tolist() for c in window_hashes(ids, np.array(maybe, bool)))
             plain = [x for x, bits in zip(h, named) if not bits]  # a window counts once, however it is read
             self.items[key] = (words, values, len({*plain}))
             for q, bits, x in zip(at, named, h):
                 self.where[x].append((key, q, bits, plain[q]))
+        for c in (NUM, NAME, UNIT):
+            known.pop(c, None)
+        self.ids = np.array([0, *known.values()], np.uint64)
+        self.codes = Codes({w: i for i, w in enumerate(known, 1)})
         self.hashes = np.array(sorted(self.where), np.uint64)
-        self.short = min((len(w) for w, _, _ in self.items.values()), default=WINDOW) < WINDOW
-
-    def matches(self, text: str) -> list[tuple]:
-        """(item, share of its windows found with slots that fit, slots bound, first and last word) for each item that text holds at least in part."""
-        words, values, maybe = template(text)
-        get = self.words.get
-        ids, maybe = np.array([get(w, 0) for w in words], np.uint64), np.array(maybe, bool)
-        if not len(ids) or not len(self.hashes):
-            return []
-        found: dict = defaultdict(list)
-        for size in {WINDOW, *({len(w) for w, _, _ in self.items.values() if len(w) < WINDOW} if self.short else ())}:
-            if len(ids) < size:
-                continue
-            at, _, h = window_hashes(ids, maybe, size)
-            if len(at):
+        self.sizes = sorted({WINDOW, *(len(w) for w, _, _ in self.items.values() if len(w) < WINDOW)})
+
+    def read(self, parts: list[list[str]]):
+        """Word hashes, 0 if not known, and which words may be names too, of several texts; each text ends with a word of its own that nothing knows."""
+        codes, n = self.codes, np.array([len(p) for p in parts])
+        if len(codes) > CACHE:
+            codes.clear()
+        code = np.fromiter(map(codes.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+        code = np.insert(code, np.cumsum(n), 0)
+        end = np.zeros(len(code), bool)
+        end[np.cumsum(n + 1) - 1] = True
+        stop = (code & 3) == STOP
+        fresh = np.ones(len(code), bool)
+        fresh[1:] = (stop | end)[:-1]
+        code, fresh, end = code[~stop], fresh[~stop], end[~stop]
+        kind, before = code & 3, np.zeros(len(code), bool)
+        before[1:] = (kind == NUMBER)[:-1]
+        number, unit = kind == NUMBER, (kind == UNITLIKE) & before
+        name = (code & 4 > 0) & ~number & ~unit
+        ids = self.ids[code >> 3]
+        ids[number], ids[unit], ids[name & ~fresh] = SLOT_IDS[0], SLOT_IDS[2], NAME_ID
+        return ids, name & fresh, np.flatnonzero(end)
+
+    def match_all(self, texts: list[str]) -> list[list[tuple]]:
+        """matches() of each text; several are read at once."""
+        out = [[] for _ in texts]
+        if not len(self.hashes):
+            return out
+        lo = 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= TOGETHER):
+                held += len(texts[hi])
+                hi += 1
+            parts = [tokens(t) for t in texts[lo:hi]]
+            ids, maybe, ends = self.read(parts)
+            found: dict = defaultdict(list)
+            for size in self.sizes:
+                if len(ids) < size:
+                    continue
+                at, _, h = window_hashes(ids, maybe, size)
+                if not len(at):
+                    continue
                 i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 hit = self.hashes[i] == h
-                for p, x in zip(at[hit].tolist(), h[hit].tolist()):
+                doc = np.searchsorted(ends, at[hit])
+                start = np.where(doc > 0, ends[doc - 1] + 1, 0)
+                for d, p, x in zip(doc.tolist(), (at[hit] - start).tolist(), h[hit].tolist()):
                     for key, q, bits, own in self.where[x]:
-                        found[key].append((p, q, own, bits))
-        out = []
-        for key, hits in found.items():
-            if best := self.best(key, hits, values):
-                out.append((key, *best))
+                        found[d, key].append((p, q, own, bits))
+            values: dict = {}
+            for (d, key), hits in sorted(found.items(), key=lambda x: x[0][0]):
+                if d not in values:
+                    values = {d: [w.lower() for w in parts[d] if w not in STOPS]}
+                if best := self.best(key, hits, values[d]):
+                    out[lo + d].append((key, *best))
+            lo = hi
         return out
 
+    def matches(self, text: str) -> list[tuple]:
+        """(item, share of its windows found with slots that fit, slots bound, first and last word) for each item that text holds at least in part."""
+        return self.match_all([text])[0]
+
     def best(self, key, hits: list, values: list[str]):
         """Over the places where a copy of the item can start, the one with the largest share of windows whose slots fit."""
         words, own, total = self.items[key]
@@ -186,18 +255,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", col
         return out.select(key, F.size("items").cast("long").alias("n_items"), "items", F.coalesce("best_share", F.lit(0.0)).alias("best_share"), (F.size("items") > 0).alias("contaminated"))
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"{key} {kind}, n_items long, items array<{item_kind}>, best_share double, contaminated boolean"
+    arrow = arrow_schema(schema)
+    small_batches(docs.sparkSession)
 
-    def make():
+    def run(batches):
         b = Benchmark(pickle.loads(known.value))
+        for x in batches:
+            found = b.match_all([t or "" for t in x.column(1).to_pylist()])
+            hits = [sorted(i for i, s, *_ in m if s >= share) for m in found]
+            yield batch(arrow, x.column(0), list(map(len, hits)), hits, [max((s for _, s, *_ in m), default=0.0) for m in found], [bool(h) for h in hits])
 
-        def row(k, text):
-            m = b.matches(text or "") if text else []
-            hit = sorted(i for i, s, *_ in m if s >= share)
-            return k, len(hit), hit, max((s for _, s, *_ in m), default=0.0), bool(hit)
-
-        return row
-
-    return map_rows(docs, [key, column], schema, make)
+    return docs.select(key, column).mapInArrow(run, schema)
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, key: str, column: str, item: str, share: float) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +274,8 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, key: str, column: str, item:
     A join of window hashes finds (row, item) pairs, whose texts are then compared; short items have windows of their own length, so texts get those too.
     """
     small_batches(docs.sparkSession)
-    d = docs.withColumn("_row", F.xxhash64(key, column))
+    # 128 bits, so that no two rows of a table meet
+    d = docs.withColumn("_row", F.concat(F.hex(F.xxhash64(key, column, F.col(column).isNull())), F.lit("-"), F.hex(F.xxhash64(F.lit(3), F.length(column), column, key))))
     each = cut(_windows(items, item, "text", None).withColumnRenamed(item, "_item"))
     short = [r["n_words"] for r in each.filter(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()]  # WINDOW - 1 lengths at most
     left = _windows(d, "_row", column, [WINDOW, *short]).select("_row", F.explode("hashes").alias("_h"))
@@ -220,7 +289,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, key: str, column: str, item:
 
         return row
 
-    scored = map_rows(both, ["_row", "_item", "_d", "_t"], f"_row long, _item {items.schema[item].dataType.simpleString()}, _s double", make)
+    scored = map_rows(both, ["_row", "_item", "_d", "_t"], f"_row string, _item {items.schema[item].dataType.simpleString()}, _s double", make)
     return d, scored.groupBy("_row").agg(F.array_sort(F.collect_set(F.when(F.col("_s") >= share, F.col("_item")))).alias("items"), F.max("_s").alias("best_share"))
 
 
@@ -252,8 +321,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     def run(batches):
         b = Benchmark(pickle.loads(known.value))
         for x in batches:
-            keep = [not t or all(s < share for _, s, *_ in b.matches(t)) for t in x.column(at).to_pylist()]
-            yield x.filter(pa.array(keep, pa.bool_()))
+            found = b.match_all([t or "" for t in x.column(at).to_pylist()])
+            yield x.filter(pa.array([all(s < share for _, s, *_ in m) for m in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -263,9 +332,9 @@ def _items(benchmark: DataFrame, item: str) -> DataFrame:
 
 
 def _small(items: DataFrame):
-    """The items, broadcast, if they have BROADCAST_ROWS words at most."""
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    return items.sparkSession.sparkContext.broadcast(pickle.dumps([tuple(r) for r in items.collect()])) if words <= BROADCAST_ROWS else None
+    """The items, broadcast, if they hold BROADCAST_BYTES at most, each row counted as 64 bytes besides its text."""
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).first()["n"] or 0
+    return items.sparkSession.sparkContext.broadcast(pickle.dumps([tuple(r) for r in items.collect()])) if size <= BROADCAST_BYTES else None
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,7 +305,7 @@ def test_decontamination_rows(spark, docs, empty, monkeypatch):
     assert [k for k, v in got.items() if v] in ([10, 11], [11, 10])
     assert decontaminate.contaminated(docs, b.filter("false")).filter("contaminated").count() == 0
     assert decontaminate.contaminated(empty, b).count() == 0
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     far = {r["doc_id"]: r["contaminated"] for r in decontaminate.contaminated(docs, b, share=0.4).collect()}
     assert far == got
 
@@ -318,7 +318,7 @@ def test_decontamination_is_the_same_by_shuffle(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     order = lambda df: sorted(map(tuple, df.collect()), key=str)
     near, kept = order(decontaminate.contaminated(d, b)), order(decontaminate.clean(d, b))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert order(decontaminate.contaminated(d, b)) == near and order(decontaminate.clean(d, b)) == kept
     by = {k: (items, best) for k, _, items, best, _ in near if k is not None and k != 7}
     assert by[2][0] == [2, 4] and by[8][0] == [3] and by[1][0] == [] and 0 < by[1][1] < decontaminate.SHARE and by[6] == ([], 0.0)
