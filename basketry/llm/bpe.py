@@ -11,6 +11,7 @@ that lie further back are certain and go out at once, so what is held is bounded
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import struct
 import unicodedata
@@ -30,6 +31,8 @@ from .tokencounts import SPACE, load, splitter
 #: Words in each half of a worker's cache.
 CACHE = 500_000
 PAIRS = 1_000_000
+#: Ids that are decoded at once.
+RUN = 8_192
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Characters whose classes are the same in all versions of Unicode at hand: Latin, Greek, Cyrillic, punctuation, kana, Han, Hangul.
 COMMON = regex.compile(r"[\0-\u024f\u0370-\u0373\u0384-\u0386\u0388-\u038a\u038e-\u03a1\u03a3-\u03ff\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
@@ -42,6 +45,9 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+BYTES = {c: b for b, c in enumerate(byte_letters())}
+
+
 class Transducer:
     """Encodes words symbol by symbol; end is the mark that a word's last symbol carries."""
 
@@ -191,24 +197,37 @@ class Transducer:
 
 
 class Decoder:
-    """From ids to text, one at a time. marks: keep the vocabulary's own spelling, with a space between tokens, as a tokenizer
-    without a decoder does; else bytes are gathered until they make characters, and a word's end becomes a space."""
+    """From ids to text by runs of ids, whatever their borders. marks: keep the vocabulary's own spelling, with a space between tokens, as a
+    tokenizer without a decoder does; else bytes are gathered until they make characters, and a word's end becomes a space.
+
+    What is held between runs is whether a token went before, and the bytes of a character that is not complete: at most three."""
 
     def __init__(self, tokens: list[str], marks: bool = True, end: str = "</w>", added: frozenset = frozenset()):
         self.tokens, self.marks, self.end, self.added = tokens, marks, end, added
-        self.bytes = {c: b for b, c in enumerate(byte_letters())}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
         self.started = False
+        self.raw: dict[int, bytes] = {}
 
-    def feed(self, i: int) -> str:
+    def spelled(self, i: int) -> bytes:
+        """The bytes of a token, with a word's end as a space."""
         t = self.tokens[i]
-        if self.marks:
-            t, self.started = (" " + t if self.started else t), True
-            return t
-        if t in self.added:
-            return self.state.decode(b"", True) + t
         over = bool(self.end) and t.endswith(self.end)
-        return self.state.decode(bytes(self.bytes[c] for c in (t[: -len(self.end)] if over else t))) + " " * over
+        raw = self.raw[i] = bytes(BYTES[c] for c in (t[: -len(self.end)] if over else t)) + b" " * over
+        return raw
+
+    def feed(self, ids: Iterable[int]) -> str:
+        """The text that these ids make certain."""
+        if self.marks:
+            text = " ".join(map(self.tokens.__getitem__, ids))
+            before, self.started = self.started, self.started or bool(text)
+            return " " + text if before and text else text
+        out = []
+        for i in ids:
+            if self.tokens[i] in self.added:
+                out += [self.state.decode(b"", True), self.tokens[i]]
+            else:
+                out.append(self.state.decode(self.raw.get(i) or self.spelled(i)))
+        return "".join(out)
 
     def finish(self) -> str:
         return "" if self.marks else self.state.decode(b"", True)
@@ -268,11 +287,12 @@ class WordCodec:
             out += found
         return b"".join(out)
 
+    def decoder(self, marks: bool = True) -> Decoder:
+        return Decoder(self.names, marks, self.coder.end, frozenset(self.added))
+
     def decode(self, ids: Iterable[int], marks: bool = True) -> str:
-        if marks:  # the state is one separator, so whole runs can be joined
-            return " ".join(map(self.names.__getitem__, ids))
-        d = Decoder(self.names, False, self.coder.end, frozenset(self.added))
-        return "".join(map(d.feed, ids)) + d.finish()
+        d = self.decoder(marks)
+        return d.feed(ids) + d.finish()
 
 
 def little(ids: array) -> bytes:
@@ -294,10 +314,14 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", column: str =
 
         def row(k, text):
             data = c.ids(text or "")
-            ids = np.frombuffer(data, "<u4").tolist()
-            decoded = c.decode(ids)
-            out = k, len(ids), sha(data), sha(decoded.encode())
-            return (*out, data, decoded) if texts else out
+            ids, d, digest, decoded = np.frombuffer(data, "<u4"), c.decoder(), hashlib.sha256(), []
+            for lo in range(0, len(ids), RUN):
+                part = d.feed(ids[lo : lo + RUN].tolist())
+                digest.update(part.encode())
+                if texts:
+                    decoded.append(part)
+            out = k, len(ids), sha(data), digest.hexdigest()
+            return (*out, data, "".join(decoded)) if texts else out
 
         return row
 
