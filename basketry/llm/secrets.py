@@ -1,9 +1,11 @@
 """Secret scans: patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer reads name-literal pairs (name = "literal", name: literal, "name": "literal", name => literal, export NAME=literal, and
-<name>literal</name>), keeps the constants of a text, follows a name that is assigned another name or a concatenation of names and
-literals, and scores each literal by how sensitive the names are that it reaches and by how random it looks. Literals that score
-SCORE or more are added to what the patterns find. All positions are code points of the text, the end exclusive.
+The lexer finds assignments (name = value, name: value, name: Type = value, "name": value, name => value, NAME=value, --name=value,
+<name>value</name>, <entry key="name">value</entry>, and a name and a value that are given as such) and reads the value as an expression: strings
+in any quotes, side by side or joined by operators, over lines where a bracket or an operator goes on, defaults of calls, bare words of
+configuration, and comments, which are passed over. It keeps the constants of a text, follows a name that is assigned another name, and scores
+each literal by how sensitive the names are that it reaches and by how random it looks. Literals that score SCORE or more are added to what the
+patterns find. All positions are code points of the text, the end exclusive. Every step takes time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -28,15 +30,26 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.8, "credentials": 0.8,
     "private": 0.5, "auth": 0.5, "access": 0.3, "key": 0.4, "api": 0.3, "signing": 0.4, "encryption": 0.4, "bearer": 0.7, "client": 0.1, "cookie": 0.3,
 }
-NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-PAIR = re.compile(
-    rf"""(?P<name>{NAME})(?:["']?\]?)[\x20\t]*(?::=|=>|[:=])(?![=:/])[\x20\t]*"""
-    rf"""(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=\-]+)(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{NAME}))*)""",
+NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: What may follow a name that is assigned to: a closing quote or bracket, a type, the sign.
+TAIL = r"""["'`]?\]?[\x20\t]*+(?::[\x20\t]*+[A-Za-z_](?:[\w.\[\]<>,|?]|[\x20\t](?!=)){0,80}(?:[\x20\t]++=|=(?=[\x20\t]*+["'`]))|:=|=>|<-|[:=])(?![=:/~])"""
+PAIR = re.compile(rf"(?:[^A-Za-z_]++|{NAME}(?!{TAIL}))*+(?P<name>{NAME}){TAIL}", re.A)
+TOKEN = re.compile(
+    r"""(?P<space>[\x20\t]++)|(?P<line>[\r\n]++)|(?P<comment>\#[^\n]*+|//[^\n]*+)|(?P<block>/\*)"""
+    r"""|(?P<text>[bBrRuUfF@]{0,2}(?:\"{3}(?s:.)*?\"{3}|'{3}(?s:.)*?'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`))"""
+    r"""|(?P<open>[(\[])|(?P<close>[)\]])|(?P<join>\|\||\?\?|\+(?=[\s"'`])|\.\.?(?=[\x20\t]*+["'`])|or\b|,)|(?P<bare>[A-Za-z0-9+/_.=\-]++)""",
     re.A,
 )
-PART = re.compile(rf"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>{NAME}(?![A-Za-z0-9+/_.=\-]))|(?P<bare>[A-Za-z0-9+/_.=\-]+)""", re.A)
-TAG = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\s]{{6,}})</(?P=name)>", re.A)
+SIGN = re.compile(r"""[\x20\t]*+(?:=>|:=|[=:])(?![=:/])""")
+TAG = re.compile(rf"""<(?P<tag>{NAME})(?:\s[^<>]{{0,200}}?\b(?:key|name|id)=["'](?P<key>{NAME})["'][^<>]{{0,200}})?>\s*+(?P<value>[^<>\s]{{6,}}+)\s*+</(?P=tag)>""", re.A)
+ATTRIBUTES = re.compile(rf"""\b(?:key|name)\s?=\s?["'](?P<key>{NAME})["']\s{{1,9}}value\s?=\s?["'](?P<value>[^"'<>\n]++)["']""", re.A)
+#: A block comment inside a value, at most.
+COMMENT = 2_000
+#: A word of more letters holds no assignment of its own.
+WORD = 256
 MARKS = re.compile(r"[:=>]")
+#: Calls whose first literal names a setting; fixed values of this method.
+LOOKUPS = ("get", "getenv", "env", "lookup", "fetch", "getproperty", "getstring")
 
 
 @lru_cache(100_000)
@@ -52,6 +65,82 @@ def randomness(s: str) -> float:
     return min(1.0, bits / 6 + 0.3 * (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)))
 
 
+def value(text: str, at: int) -> tuple[list[tuple[int, int]], list[str], int]:
+    """The spans of an expression's own literals, without quotes, the names that it uses, and where to read on: behind its sign, or its last word if that is long."""
+    own, uses, depth, skips, on = [], [], 0, [], at
+    fresh, wanted, n = True, True, len(text)  # fresh: nothing was read yet; wanted: an operand comes next
+    while at < n and (m := TOKEN.match(text, at)):
+        kind, a, b = m.lastgroup, m.start(), m.end()
+        if kind == "block":
+            b = text.find("*/", b, b + COMMENT) + 2
+            if b < 2:
+                break
+        elif kind == "line":
+            if not depth and (fresh or not wanted):
+                break
+        elif kind == "text":
+            body = m[0].lstrip("bBrRuUfF@")
+            q = 3 if len(body) > 5 and body[:3] in ('"""', "'''") else 1
+            if skips and skips[-1]:
+                skips[-1] = False  # the name of a setting
+            else:
+                own.append((b - len(body) + q, b - q))
+            fresh = wanted = False
+        elif kind == "open":
+            if not wanted and text[a] == "[":
+                break
+            depth += 1
+            skips.append(False)
+            wanted = True
+        elif kind == "close":
+            if not depth:
+                break
+            depth -= 1
+            skips.pop()
+            wanted = False
+        elif kind == "join":
+            if m[0] == "," and not depth:
+                break
+            wanted = True
+        elif kind == "bare":
+            if b - a > WORD:
+                on = b
+            if not wanted and not depth:
+                break
+            if SIGN.match(text, b) and m[0][0].isalpha():
+                break  # another assignment
+            if text[b : b + 1] == "(":
+                depth += 1
+                skips.append(m[0].rpartition(".")[2].lower() in LOOKUPS)
+                b += 1
+                wanted = True
+            else:
+                uses.append(m[0])
+                if not depth and fresh:
+                    own.append((a, b))
+                wanted = False
+            fresh = False
+        at = b
+    return own, uses, on
+
+
+def assignments(text: str):
+    """(place, name, spans of literals, names used) of each assignment, in order of place."""
+    out, at = [], 0
+    while m := PAIR.match(text, at):  # passes over everything up to the next one
+        own, uses, at = value(text, m.end())
+        name = m["name"]
+        if name.lower() == "value" and out and out[-1][1].lower() in ("key", "name") and out[-1][2] and m.start("name") - out[-1][0] < 400:
+            a, b = out[-1][2][0]
+            name = text[a:b]
+        out.append((m.start("name"), name, own, uses))
+    if "</" in text:
+        out += [(m.start(), m["key"] or m["tag"], [m.span("value")], []) for m in TAG.finditer(text)]
+    if "value" in text:
+        out += [(m.start(), m["key"], [m.span("value")], []) for m in ATTRIBUTES.finditer(text)]
+    return sorted(out, key=lambda x: x[0])
+
+
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name. Work grows with the text, however long a chain of names is: a second pass,
     from the last assignment to the first, hands each one's sensitivity on to those it names."""
@@ -59,24 +148,13 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
         return []
     latest: dict[str, int] = {}  # name -> its last assignment so far
     literals, named, weights = [], [], []  # of each assignment: its own literals' spans, the assignments it names, all earlier, and its sensitivity
-    for m in [*PAIR.finditer(text), *TAG.finditer(text)]:
-        at, own, uses = m.start("value"), [], []
-        if m.re is TAG:
-            own.append(m.span("value"))
-        else:
-            for p in PART.finditer(m["value"]):
-                a, b = at + p.start(), at + p.end()
-                if p["quoted"]:
-                    own.append((a + 1, b - 1))
-                elif p["name"] in latest:
-                    uses.append(latest[p["name"]])
-                else:
-                    own.append((a, b))
-        latest[m["name"]] = len(weights)
-        literals.append([(a, b) for a, b in own if b - a >= 6])
-        named.append(uses)
-        weights.append(sensitivity(m["name"]))
-    out = []
+    for _, name, own, uses in assignments(text):
+        known = {u for u in uses if u in latest}
+        literals.append([(a, b) for a, b in own if b - a >= 6 and text[a:b] not in known])
+        named.append([latest[u] for u in known])
+        latest[name] = len(weights)
+        weights.append(sensitivity(name))
+    best: dict[tuple[int, int], float] = {}
     for i in range(len(weights) - 1, -1, -1):
         for j in named[i]:
             weights[j] = max(weights[j], weights[i])
@@ -84,8 +162,8 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
             for a, b in literals[i]:
                 score = weights[i] * (0.5 + randomness(text[a:b]))
                 if score >= SCORE:
-                    out.append((a, b, score))
-    return out
+                    best[a, b] = max(score, best.get((a, b), 0.0))
+    return [(a, b, x) for (a, b), x in best.items()]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
