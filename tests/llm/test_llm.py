@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -39,6 +41,7 @@ def by_id(df):
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 codec, library = bpe.WordCodec(WORD), Tokenizer.from_file(WORD)
+lengths, byte_library = tokencounts.Lengths(BYTE, {}), Tokenizer.from_file(BYTE)
 
 
 @settings(max_examples=300, deadline=None)
@@ -63,6 +66,16 @@ def test_bpe_decodes_to_text():
     assert codec.decode(ids, marks=False) == "héllo wörld 😀 <|endoftext|>"
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=80), st.lists(st.integers(0, 60), max_size=6))
+def test_decoding_does_not_hang_on_the_runs(s, cuts):
+    ids = np.frombuffer(codec.ids(s), "<u4").tolist()
+    borders = [0, *sorted(min(c, len(ids)) for c in cuts), len(ids)]
+    for marks in (True, False):
+        d = codec.decoder(marks)
+        assert "".join(d.feed(ids[a:b]) for a, b in zip(borders, borders[1:])) + d.finish() == codec.decode(ids, marks)
+
+
 def test_bpe_rows(docs, empty):
     for r in by_id(bpe.encode_decode(docs, WORD)):
         text = LONG if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
@@ -82,6 +95,12 @@ def test_token_counts(docs, empty):
     assert tokencounts.count_tokens(empty, BYTE).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(st.sampled_from("aab .-_\t\n0e"), max_size=60)))
+def test_lengths_equal_the_library(s):
+    assert lengths.count(s) == len(byte_library.encode(s, add_special_tokens=False).ids)
+
+
 def test_secrets():
     text = 'x password: "hunter22" AKIA' + "A" * 16 + " " + "0f" * 12 + ' part = "abc123XYZ789"\nauth_secret_key = part + "q9w8e7r6t5"\ncolour = "abcdefabc"'
     base, spans = secrets.scan(text)
@@ -94,6 +113,58 @@ def test_secrets():
     assert secrets.scan("") == ([], []) and secrets.redact("none", []) == "none"
 
 
+SECRET = "q9w8e7r6t5"
+SOURCES = [
+    f'password: str = "{SECRET}"', f'val apiToken: String = "{SECRET}"', f"const secret = `{SECRET}`;", f'auth_secret = os.environ.get("AUTH_SECRET_1") or "{SECRET}"', f'auth_secret = os.environ.get("AUTH_SECRET_1", "{SECRET}")',
+    f'api_secret = (\n  "abc123XYZ"\n  "{SECRET}"\n)', f'<entry key="auth_secret">{SECRET}</entry>', f"<password>{SECRET}</password>", f'<add key="ClientSecret" value="{SECRET}"/>', f"- name: AUTH_SECRET\n  value: {SECRET}",
+    f'{{"auth_secret": "{SECRET}"}}', f"config['auth_secret'] = '{SECRET}'", f"tool --auth-secret={SECRET} -h x", f'auth_secret = /* old */ "{SECRET}"', f'# auth_secret = "{SECRET}"', f'String authSecret = "{SECRET}";', f'auth_secret := "{SECRET}"',
+    f'auth_secret => "{SECRET}",', f'auth_secret = Secret("{SECRET}")', f'auth_secret = """{SECRET}"""', f'base = "{SECRET}"\ncopy = base\nauth_secret = [copy]',
+]
+
+
+@pytest.mark.parametrize("text", SOURCES)
+def test_secrets_in_many_syntaxes(text):
+    found = {text[a:b] for a, b, _ in secrets.lexed(text)}
+    assert SECRET in found and not found & {"String", "AUTH_SECRET_1", "AUTH_SECRET"}
+
+
+@pytest.mark.parametrize("unit", ["x", "a-", "a = (", 'a="', 'a="\\"', "x = `", "a=/*", "a=b+", '"""a=', "a: b ", "a:", "<a>b", "= ", "token  ", "f" * 23 + " "])
+def test_secrets_read_long_texts_in_linear_time(unit):
+    short, long = unit * (20_000 // len(unit)), unit * (160_000 // len(unit))
+    took = []
+    for text in (short, long):
+        began = time.process_time()
+        secrets.scan(text + " a=1")
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def naive(pattern, text, ok):
+    """Leftmost matches one after the other, tried at each place on its own."""
+    out, at = [], 0
+    while at < len(text):
+        m = pattern.match(text, at)
+        if m and m.end() > at:
+            out += [(m.start(), m.end())] * ok(m)
+            at = m.end()
+        else:
+            at += 1
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("tokensecrpasdApI_key:= \"'AKIA0123fe\u212aK\n"), max_size=80), st.sampled_from(["", "token=", "API_KEY : 'abcdef", "AKIA" + "Z9" * 9, "0a" * 13]))
+def test_secret_patterns_equal_their_definition(s, more):
+    text = s[: len(s) // 2] + more + s[len(s) // 2 :]
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
+    assign = re.compile(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want = [(a, 0, b) for a, b in naive(assign, text, lambda m: len(m[2]) >= 6)]
+    want += [(a, 1, b) for a, b in naive(re.compile("AKIA[A-Z0-9]+"), text, lambda m: len(m[0]) >= 20)]
+    want += [(a, 2, b) for a, b in naive(re.compile("[0-9a-f]+"), text, lambda m: len(m[0]) >= 24)]
+    assert secrets.base_spans(text) == sorted(want)
+
+
 def test_secrets_follow_long_chains():
     parts = [f"p{i:03}" for i in range(300)]
     lines = [f'{p} = "abc123XYZ{p}"' for p in parts]
@@ -151,6 +222,35 @@ def test_lm_scores(docs, empty):
     assert lmscore.score_texts(empty, path).count() == 0
 
 
+def test_lm_score_is_the_sum_over_the_lattices(docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = lmscore.Vocabulary(path)
+    lattice = lmscore.Lattice(v, v.probs)
+    for r in lmscore.score_texts(docs, path, steps=0).collect():
+        words = ((LONG if r["doc_id"] is None else TEXTS[r["doc_id"]]) or "").encode().lower().split()
+        assert r["score"] == pytest.approx((sum(lattice.forward(w.decode()) for w in words) + lattice.end) / np.log(10))
+
+
+def test_lattices_equal_one_by_one():
+    v = lmscore.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice, words = lmscore.Lattice(v, v.probs), ["the", "antion", "internationalisation", "a", "xyzzy", "straße"]
+    many = lmscore.Lattices(v, lmscore.Lattices.pack(v, [lmscore.MARK + w for w in words]))
+    a, x = many.forward(np.log(v.probs))
+    assert a[many.last] == pytest.approx([lattice.forward(w) for w in words])
+    want = [0.0] * len(v.probs)
+    for i, w in enumerate(words):
+        lattice.expected(w, i + 1.0, want)
+    assert many.expected(a, x, np.arange(1.0, 7.0), len(v.probs)) == pytest.approx(np.array(want))
+
+
+def test_em_raises_what_held_out_words_get(spark):
+    v = lmscore.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.createDataFrame([(i, " ".join(R.choice(WORDS) for _ in range(30))) for i in range(60)], "doc_id long, text string")
+    built = lmscore.lattices(lmscore.word_counts(docs, "doc_id", "text"), v).cache()
+    before, after = (lmscore.step(built, v, p)[1] for p in (v.probs, lmscore.fit(built, v, 50)))
+    assert after > before
+
+
 def test_lattice_sums_all_segmentations():
     v = lmscore.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     lattice = lmscore.Lattice(v, v.probs)
@@ -186,6 +286,45 @@ def test_embeddings(spark):
     assert vectors.near_vectors(df.filter("false")).count() == 0
 
 
+def test_embeddings_with_many_lists_and_blocks(spark, monkeypatch):
+    for name, x in (("PER_LIST", 4), ("PROBES", 6), ("BLOCK", 16), ("HEAVY", 2)):
+        monkeypatch.setattr(vectors, name, x)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(500, 24))
+    near = np.concatenate([base[:100] + s * rng.normal(size=(100, 24)) for s in (0.05, 0.1, 0.2)])
+    crowd = base[7] + 0.05 * rng.normal(size=(60, 24))
+    x = np.concatenate([base, near, crowd, np.repeat(base[9:10], 40, axis=0), 3 * base[:5]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000 + i, v[:5].tolist()) for i, v in enumerate(np.concatenate([base[:20], base[:20]]))]
+    rows += [(9500, [1e-200] * 24), (9501, [2e-200] * 24), (9502, [1e200] * 24), (9503, [5e-324] * 24), (9600, [1.0, 0.0]), (9601, [1.0, 0.01]), (7, base[7].tolist())]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()
+    assert len(got) == len(rows)
+    by = Counter()
+    for r in got:
+        by[r["vec_id"]] = r["n_links"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    want[u @ u[7] >= 0.9] += 1  # the second row of 7
+    got_links = np.array([by[i] for i in range(len(x))])
+    assert (got_links <= want).all() and got_links.sum() >= 0.95 * want.sum()
+    assert all(by[9500 + i] == 3 for i in range(4)) and by[9600] == by[9601] == 1
+    assert all(by[9000 + i] >= 1 for i in range(40))
+    part = {r["vec_id"]: r["component_id"] for r in got}
+    assert {part[i] for i in np.flatnonzero(u @ u[7] >= 0.9)} == {min(part[i] for i in np.flatnonzero(u @ u[7] >= 0.9))} and part[9503] == 9500
+
+
+def test_probes_are_fewer_than_lists():
+    rng = np.random.default_rng(1)
+    x = vectors.unit(rng.normal(size=(4_000, 32)))
+    q = vectors.Quantiser(x, 8)
+    cells = q.nearest(x[:50], 10)
+    d = ((x[:50, None, :16] - q.coarse[0][None]) ** 2).sum(2)[:, :, None] + ((x[:50, None, 16:] - q.coarse[1][None]) ** 2).sum(2)[:, None, :]
+    assert (np.sort(cells, 1) == np.sort(np.argsort(d.reshape(50, -1), axis=1, kind="stable")[:, :10], 1)).mean() > 0.99
+    codes, size, rest = q.encode(x, q.nearest(x, 1)[:, 0])
+    far = q.asymmetric(q.tables(x[:9]), q.nearest(x, 1)[:, 0], codes, size)
+    true = np.sqrt(np.maximum(0, 2 - 2 * x[:9] @ x.T))
+    assert (np.sqrt(np.maximum(far, 0)) <= true + rest + 1e-3).all()  # what the codes keep holds every pair
+
+
 def edited(text, n, seed):
     r, w = random.Random(seed), text.split()
     for _ in range(n):
@@ -265,6 +404,27 @@ def test_repeats(spark, monkeypatch):
         assert all(x["n_removed"] == 0 for x in suffixes.remove_repeats(df.filter(few)).collect())
 
 
+def test_anchors_do_not_hang_on_pieces(monkeypatch):
+    r = random.Random(3)
+    raw = "".join(r.choice("abcd") for _ in range(5000)).encode()
+    ends = np.array([40, 40, 900, 901, 3000, 5000])
+    whole = suffixes.anchors(np.frombuffer(raw, np.uint8), ends)
+    for piece in (50, 64, 999):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        assert suffixes.anchors(np.frombuffer(raw, np.uint8), ends).tolist() == whole.tolist()
+
+
+def test_repeats_of_whole_documents(spark):
+    r = random.Random(5)
+    a, b = ("".join(r.choice(of) for _ in range(n)) for of, n in (("abcdé ", 400), ("abcd", 49)))
+    texts = [(5, a), (3, a), (9, a), (4, b), (6, b), (3, a), (7, a + "tail" * 20), (1, "x" * 60), (2, "x" * 60), (None, a), (8, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(df).collect())
+    size = len(a.encode())
+    want = [(-1, size, 0, 0), (1, 60, 0, 0), (2, 60, 60, 1), (3, size, 0, 0), (3, size, 0, 0), (4, len(b.encode()), 0, 0), (5, size, size, 1), (6, len(b.encode()), 0, 0), (7, size + 80, size, 1), (-1, 0, 0, 0), (9, size, size, 1)]
+    assert got == sorted((k if k != -1 or n else 8, n, x, y) for k, n, x, y in want)
+
+
 ITEM = "In the garden Mary has 5 apples and 7 pears, and she gives Peter 5 apples for 3 dollars; how many pears are left with Mary then?"
 
 
@@ -358,6 +518,14 @@ def test_components_of_shuffled_paths(spark):
     assert got == {**dict.fromkeys(ids[:2_000], min(ids[:2_000])), **dict.fromkeys(ids[2_000:], min(ids[2_000:]))}
 
 
+def test_components_of_stars_and_grids(spark):
+    star = [(5_000, i) for i in range(400)]
+    at = random.Random(9).sample(range(10_000, 20_000), 400)
+    grid = [(at[20 * i + j], at[20 * i + j + 1]) for i in range(20) for j in range(19)] + [(at[20 * i + j], at[20 * i + 20 + j]) for i in range(19) for j in range(20)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(star + grid, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(400), 5_000], 0), **dict.fromkeys(at, min(at))}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 
