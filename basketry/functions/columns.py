@@ -36,6 +36,11 @@ def ratio_pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part * 100.0, whole), digits)
 
 
+def mean(total: Column, n: Column, digits: int = 2) -> Column:
+    """A rounded mean of a decimal sum. The last step rounds to a whole number, where a tie is exact, so engines agree; none of nothing."""
+    return F.round(F.try_divide((total * 10**digits).cast("double"), n)) / 10**digits
+
+
 def fiscal_year(d: Column) -> Column:
     """Years that start on 1 February."""
     return F.when(F.month(d) >= 2, F.year(d)).otherwise(F.year(d) - 1)

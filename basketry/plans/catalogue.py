@@ -9,9 +9,10 @@ from ..functions import columns as X
 from ..operators import analytics as A
 from ..operators import history as H
 from ..operators import quality as Q
-from ..sources.tables import dates, parquet
+from ..sources.tables import parquet
 from ..streaming import events as E
-from . import learning
+from . import models as M
+from . import warehouse
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,18 +58,6 @@ def line_total(spark: SparkSession, d: str) -> DataFrame:
     return g.select("l_returnflag", "l_linestatus", "n_lines", F.col("net").cast("double").alias("net"), F.round("net", 2).cast("double").alias("net_rounded"))
 
 
-@query("""SELECT CAST(d AS DATE) AS date, CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, CAST(dayofweek(d) + 1 AS INT) AS day_of_week, strftime(d, '%A') AS day_name, CAST(day(d) AS INT) AS day_of_month,
-  CAST(weekofyear(d) AS INT) AS iso_week, CAST(date_trunc('week', d) AS DATE) AS week_start, CAST(month(d) AS INT) AS month, strftime(d, '%B') AS month_name, strftime(d, '%b') AS month_short,
-  CAST(date_trunc('month', d) AS DATE) AS month_start, CAST(quarter(d) AS INT) AS quarter, CAST(date_trunc('quarter', d) AS DATE) AS quarter_start, CAST(year(d) AS INT) AS year, dayofweek(d) IN (0, 6) AS is_weekend,
-  CAST(CASE WHEN month(d) >= 2 THEN year(d) ELSE year(d) - 1 END AS INT) AS fiscal_year, CAST((month(d) + 10) % 12 // 3 + 1 AS INT) AS fiscal_quarter
-  FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2027-12-31', INTERVAL 1 DAY)) AS d)""")
-def dim_dates(spark: SparkSession, d: str) -> DataFrame:
-    c, f = F.col("date"), lambda p: F.date_format("date", p)
-    return dates(spark, "2024-01-01", "2027-12-31").select(
-        c, f("yyyyMMdd").cast("int").alias("date_key"), F.dayofweek(c).alias("day_of_week"), f("EEEE").alias("day_name"), F.day(c).alias("day_of_month"), F.weekofyear(c).alias("iso_week"), F.trunc(c, "week").alias("week_start"),
-        F.month(c).alias("month"), f("MMMM").alias("month_name"), f("MMM").alias("month_short"), F.trunc(c, "month").alias("month_start"), F.quarter(c).alias("quarter"), F.trunc(c, "quarter").alias("quarter_start"), F.year(c).alias("year"),
-        F.dayofweek(c).isin(1, 7).alias("is_weekend"), X.fiscal_year(c).alias("fiscal_year"), X.fiscal_quarter(c).alias("fiscal_quarter"))
-
 
 @query("""SELECT s_suppkey, s_name, CASE WHEN s_acctbal <= 1000 THEN 'fast' WHEN s_acctbal <= 4000 THEN 'standard' WHEN s_acctbal <= 7000 THEN 'slow' ELSE 'very_slow' END AS tier FROM supplier""")
 def dim_supplier_tier(spark: SparkSession, d: str) -> DataFrame:
@@ -81,19 +70,19 @@ def surrogate_keys(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", X.surrogate_key("c_custkey", "seg").alias("customer_key"))
 
 
-PERIODS_SQL = """price_steps AS (SELECT l_partkey AS part, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS start, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DECIMAL(28,4)) / CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS p FROM lineitem GROUP BY ALL),
-periods AS (SELECT part, start AS valid_from, coalesce(CAST(lead(start) OVER (PARTITION BY part ORDER BY start) - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') AS valid_to, round(CAST(p AS DOUBLE), 2) AS price, lead(start) OVER (PARTITION BY part ORDER BY start) IS NULL AS is_current FROM price_steps)"""
+PERIODS_SQL = """price_steps AS (SELECT l_partkey AS part, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS start, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) * 100 AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE)) / 100 AS p FROM lineitem GROUP BY ALL),
+periods AS (SELECT part, start AS valid_from, coalesce(CAST(lead(start) OVER (PARTITION BY part ORDER BY start) - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') AS valid_to, p AS price, lead(start) OVER (PARTITION BY part ORDER BY start) IS NULL AS is_current FROM price_steps)"""
 
 
 def _periods(spark: SparkSession, d: str) -> DataFrame:
     li = parquet(spark, d, "lineitem")
-    p = li.groupBy(F.col("l_partkey").alias("part"), F.trunc(DAY("l_shipdate"), "quarter").alias("start")).agg((F.sum(X.money("l_extendedprice")).cast("double") / F.sum(X.money("l_quantity")).cast("double")).alias("p"))
-    return H.periods(p, "part", "start").select("part", "valid_from", "valid_to", F.round("p", 2).alias("price"), "is_current")
+    p = li.groupBy(F.col("l_partkey").alias("part"), F.trunc(DAY("l_shipdate"), "quarter").alias("start")).agg(X.mean(F.sum(X.money("l_extendedprice")), F.sum(X.money("l_quantity")).cast("double")).alias("p"))
+    return H.periods(p, "part", "start").select("part", "valid_from", "valid_to", F.col("p").alias("price"), "is_current")
 
 
-@query(f"WITH {PERIODS_SQL} SELECT part, valid_from, valid_to, is_current FROM periods")
+@query(f"WITH {PERIODS_SQL} SELECT part, valid_from, valid_to, price, is_current FROM periods")
 def price_periods(spark: SparkSession, d: str) -> DataFrame:
-    return _periods(spark, d).select("part", "valid_from", "valid_to", "is_current")
+    return _periods(spark, d)
 
 
 @query(f"""WITH {PERIODS_SQL} SELECT year(o_orderdate)::INT AS year, valid_from, count(*)::BIGINT AS n_lines, count(DISTINCT part)::BIGINT AS n_parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -105,32 +94,32 @@ def fact_asof_join(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(F.year("order_date").alias("year"), "valid_from").agg(F.count("*").alias("n_lines"), F.count_distinct("part").alias("n_parts"))
 
 
-@query("""SELECT l_partkey, sum(l_quantity) AS on_hand, CASE WHEN sum(l_quantity) <= 0 THEN 'out' WHEN sum(l_quantity) <= 500 THEN 'critical' WHEN sum(l_quantity) <= 900 THEN 'low' ELSE 'ok' END AS stock_status,
-  round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0) * 100, 2) AS reservation_rate_pct FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY l_partkey""")
+@query(f"""WITH {PERIODS_SQL} SELECT l_partkey, price, sum(l_quantity) AS on_hand, CASE WHEN sum(l_quantity) <= 0 THEN 'out' WHEN sum(l_quantity) <= 500 THEN 'critical' WHEN sum(l_quantity) <= 900 THEN 'low' ELSE 'ok' END AS stock_status,
+  round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0) * 100, 2) AS reservation_rate_pct FROM lineitem JOIN periods ON l_partkey = part AND is_current GROUP BY l_partkey, price""")
 def fact_current_join(spark: SparkSession, d: str) -> DataFrame:
-    p = parquet(spark, d, "part").filter("p_size > 10").select("p_partkey")
-    g = parquet(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_partkey").agg(F.sum("l_quantity").alias("on_hand"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).alias("r"))
+    p = _periods(spark, d).filter("is_current").select("part", "price")
+    g = parquet(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("part")).groupBy("l_partkey", "price").agg(F.sum("l_quantity").alias("on_hand"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).alias("r"))
     rate = F.round(F.try_divide(F.col("r"), F.col("on_hand")) * 100, 2).alias("reservation_rate_pct")
-    return g.select("l_partkey", "on_hand", X.ladder(F.col("on_hand"), [(0, "out"), (500, "critical"), (900, "low")], "ok").alias("stock_status"), rate)
+    return g.select("l_partkey", "price", "on_hand", X.ladder(F.col("on_hand"), [(0, "out"), (500, "critical"), (900, "low")], "ok").alias("stock_status"), rate)
 
 
-@query("""WITH m AS (SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders) SELECT CAST(o_orderdate AS DATE) AS order_date, count(*)::BIGINT AS n_orders,
-  (CAST(o_orderdate AS DATE) >= (SELECT d FROM m) - 3) AS is_fresh FROM orders GROUP BY ALL""")
+@query("""WITH m AS (SELECT CAST(max(o_orderdate) AS DATE) AS d FROM orders) SELECT order_date, n + CASE WHEN order_date >= m.d - 3 THEN 0 ELSE 1000 END AS n_orders, order_date >= m.d - 3 AS is_fresh
+  FROM (SELECT CAST(o_orderdate AS DATE) AS order_date, count(*)::BIGINT AS n FROM orders GROUP BY ALL), m""")
 def fact_incremental_window(spark: SparkSession, d: str) -> DataFrame:
     o = parquet(spark, d, "orders").select(DAY("o_orderdate").alias("order_date"))
     last = F.lit(o.agg(F.max("order_date")).first()[0])
     by_day = o.groupBy("order_date").agg(F.count("*").alias("n_orders"))
-    return H.replace_recent(by_day.withColumn("is_fresh", F.lit(False)), by_day.withColumn("is_fresh", F.lit(True)), "order_date", last)
+    return H.replace_recent(by_day.withColumns({"n_orders": F.col("n_orders") + 1000, "is_fresh": F.lit(False)}), by_day.withColumn("is_fresh", F.lit(True)), "order_date", last)
 
 
 RFM_SQL = """rfm AS (SELECT o_custkey AS customer, CAST(max(o_orderdate) AS DATE) AS last_order, count(DISTINCT o_orderkey)::BIGINT AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS spent FROM orders GROUP BY o_custkey),
 scored AS (SELECT *, CAST(ntile(5) OVER (ORDER BY last_order DESC, customer) AS INT) AS r, CAST(ntile(5) OVER (ORDER BY orders, customer) AS INT) AS f, CAST(ntile(5) OVER (ORDER BY spent, customer) AS INT) AS m FROM rfm)"""
-SEGMENT_SQL = "CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'champions' WHEN r >= 3 AND f >= 3 THEN 'loyal' WHEN r >= 4 THEN 'recent' WHEN r <= 2 AND f >= 3 THEN 'at_risk' WHEN r = 1 AND f = 1 THEN 'lost' ELSE 'potential' END"
+SEGMENT_SQL = M.SEGMENTS_QUERY
 
 
 def _rfm(spark: SparkSession, d: str) -> DataFrame:
     g = parquet(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(DAY(F.max("o_orderdate")).alias("last_order"), F.count_distinct("o_orderkey").alias("orders"), F.sum(X.money("o_totalprice")).cast("double").alias("spent"))
-    s = A.quantile_scores(g, {"r": [F.desc("last_order"), F.col("customer")], "f": [F.col("orders"), F.col("customer")], "m": [F.col("spent"), F.col("customer")]})
+    s = A.quantile_scores(g, {"r": [("last_order", False), ("customer", True)], "f": [("orders", True), ("customer", True)], "m": [("spent", True), ("customer", True)]})
     return s.withColumn("segment", F.expr(SEGMENT_SQL))
 
 
@@ -146,14 +135,14 @@ def rfm_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH r AS (SELECT p_brand, CAST(o_orderdate AS DATE) AS day, sum({REV_SQL}) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
-SELECT p_brand, day, CAST(revenue AS DOUBLE) AS revenue, CAST(sum(revenue) OVER w AS DOUBLE) AS rolling_sum, CAST(count(*) OVER w AS BIGINT) AS days FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+SELECT p_brand, day, CAST(revenue AS DOUBLE) AS revenue, CAST(sum(revenue) OVER w AS DOUBLE) AS rolling_sum, round(CAST(sum(revenue) OVER w * 100 AS DOUBLE) / count(*) OVER w) / 100 AS rolling_avg, CAST(count(*) OVER w AS BIGINT) AS days FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def rolling_revenue(spark: SparkSession, d: str) -> DataFrame:
     o = parquet(spark, d, "orders").select("o_orderkey", DAY("o_orderdate").alias("day"))
     p = parquet(spark, d, "part").select("p_partkey", "p_brand")
     li = parquet(spark, d, "lineitem").select("l_orderkey", "l_partkey", REV().alias("rev"))
     g = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "day").agg(F.sum("rev").alias("revenue"))
     w = Window.partitionBy("p_brand").orderBy("day").rowsBetween(-6, 0)
-    return g.select("p_brand", "day", F.col("revenue").cast("double").alias("revenue"), F.sum("revenue").over(w).cast("double").alias("rolling_sum"), F.count("*").over(w).alias("days"))
+    return g.select("p_brand", "day", F.col("revenue").cast("double").alias("revenue"), F.sum("revenue").over(w).cast("double").alias("rolling_sum"), X.mean(F.sum("revenue").over(w), F.count("*").over(w)).alias("rolling_avg"), F.count("*").over(w).alias("days")).orderBy("p_brand", "day")
 
 
 @query("""WITH c AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS first_day FROM orders GROUP BY o_custkey),
@@ -251,31 +240,19 @@ def order_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d)
 
 
-SAT_SQL = """sat AS (SELECT user_id, count(*)::BIGINT AS events, round(avg(value), 4) AS avg_value, CASE WHEN count(*) FILTER (WHERE event_type = 'error') * 1.0 / nullif(count(*), 0) <= 0.15 THEN 'promoter'
+SAT_SQL = """sat AS (SELECT user_id, count(*)::BIGINT AS events, round(CAST(sum(CAST(value AS DECIMAL(18,4))) * 10000 AS DOUBLE) / count(value)) / 10000 AS avg_value, CASE WHEN count(*) FILTER (WHERE event_type = 'error') * 1.0 / nullif(count(*), 0) <= 0.15 THEN 'promoter'
   WHEN count(*) FILTER (WHERE event_type = 'error') * 1.0 / nullif(count(*), 0) <= 0.22 THEN 'passive' ELSE 'detractor' END AS bucket FROM events GROUP BY user_id)"""
 
 
 def _satisfaction(spark: SparkSession, d: str) -> DataFrame:
     share = F.try_divide(F.count_if(F.col("event_type") == "error"), F.count("*"))
-    return parquet(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.round(F.avg("value"), 4).alias("avg_value"), X.ladder(share, [(0.15, "promoter"), (0.22, "passive")], "detractor").alias("bucket"))
+    return parquet(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"), X.mean(F.sum(X.money("value")), F.count("value"), 4).alias("avg_value"), X.ladder(share, [(0.15, "promoter"), (0.22, "passive")], "detractor").alias("bucket"))
 
 
-@query(f"WITH {SAT_SQL} SELECT user_id, events, bucket FROM sat")
+@query(f"WITH {SAT_SQL} SELECT user_id, events, avg_value, bucket FROM sat")
 def satisfaction(spark: SparkSession, d: str) -> DataFrame:
-    return _satisfaction(spark, d).select("user_id", "events", "bucket")
-
+    return _satisfaction(spark, d)
 
-@query(f"""WITH {METRIC_SQL}, {RFM_SQL}, {SESS_SQL}, {SAT_SQL}, u AS (SELECT user_id, count(*)::BIGINT AS sessions FROM s GROUP BY user_id)
-SELECT c_custkey, c_mktsegment, coalesce(om.orders, 0) AS orders, coalesce(delivered_amount, 0) AS delivered_amount, coalesce(u.sessions, 0) AS sessions, coalesce(bucket, 'no_feedback') AS bucket, coalesce({SEGMENT_SQL}, 'no_orders') AS segment,
-  CASE WHEN days_since <= 90 THEN 'new' WHEN days_since <= 365 THEN 'established' ELSE 'veteran' END AS cohort, u.sessions IS NOT NULL AS has_sessions FROM customer LEFT JOIN om ON om.customer = c_custkey LEFT JOIN scored ON scored.customer = c_custkey LEFT JOIN u ON u.user_id = c_custkey LEFT JOIN sat ON sat.user_id = c_custkey""".replace("coalesce(CASE WHEN r", "CASE WHEN scored.customer IS NULL THEN 'no_orders' ELSE (CASE WHEN r").replace("'potential' END, 'no_orders')", "'potential' END) END"))
-def customer_360(spark: SparkSession, d: str) -> DataFrame:
-    u = _sessions(spark, d).groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("sessions"))
-    r = _rfm(spark, d).select(F.col("customer").alias("c_custkey"), "segment")
-    m = _metrics(spark, d).select(F.col("customer").alias("c_custkey"), "orders", "delivered_amount", "days_since")
-    s = _satisfaction(spark, d).select(F.col("user_id").alias("c_custkey"), "bucket")
-    j = parquet(spark, d, "customer").select("c_custkey", "c_mktsegment").join(m, "c_custkey", "left").join(r, "c_custkey", "left").join(u, "c_custkey", "left").join(s, "c_custkey", "left")
-    n = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return j.select("c_custkey", "c_mktsegment", n("orders", 0), n("delivered_amount", 0.0), n("sessions", 0), n("bucket", "no_feedback"), n("segment", "no_orders"), X.ladder(F.col("days_since"), [(90, "new"), (365, "established")], "veteran").alias("cohort"), F.col("sessions").isNotNull().alias("has_sessions"))
 
 
 COUNTS = ("customer", "orders", "part", "supplier")
@@ -283,9 +260,8 @@ COUNTS = ("customer", "orders", "part", "supplier")
 
 @query("SELECT " + ", ".join(f"(SELECT count(*) FROM {t})::BIGINT AS n_{t}" for t in COUNTS) + ", (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) AS last_order")
 def scalar_summary(spark: SparkSession, d: str) -> DataFrame:
-    for t in COUNTS:
-        parquet(spark, d, t).createOrReplaceTempView(f"_{t}")
-    return spark.sql("SELECT " + ", ".join(f"(SELECT count(*) FROM _{t}) AS n_{t}" for t in COUNTS) + ", (SELECT CAST(max(o_orderdate) AS DATE) FROM _orders) AS last_order")
+    said = "SELECT " + ", ".join(f"(SELECT count(*) FROM {{{t}}}) AS n_{t}" for t in COUNTS) + ", (SELECT CAST(max(o_orderdate) AS DATE) FROM {orders}) AS last_order"
+    return spark.sql(said, **{t: parquet(spark, d, t) for t in COUNTS})
 
 
 @query("SELECT t AS table_name, n::BIGINT AS n_rows, n > 0 AS ok, min(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER () = 1 AS gate FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in COUNTS) + ")")
@@ -313,13 +289,14 @@ def dq_not_null_unique_accepted(spark: SparkSession, d: str) -> DataFrame:
 
 RULES = [
     Q.Rule("quantity_positive", "VALIDITY", "l_quantity > 0"), Q.Rule("discount_range", "VALIDITY", "l_discount BETWEEN 0 AND 0.05", threshold=0.5), Q.Rule("price_positive", "VALIDITY", "l_extendedprice > 0"),
-    Q.Rule("tax_range", "VALIDITY", "l_tax < 0.07"), Q.not_null("l_orderkey"), Q.not_null("l_partkey"), Q.accepted("l_returnflag", "A", "N", "R"), Q.accepted("l_linestatus", "O"), Q.Rule("order_unique", "UNIQUENESS", unique="l_orderkey"), Q.Rule("ship_known", "COMPLETENESS", "l_shipdate IS NOT NULL"),
+    Q.Rule("tax_range", "VALIDITY", "l_tax < 0.07"), Q.not_null("l_orderkey"), Q.not_null("l_partkey"), Q.accepted("l_returnflag", "A", "N", "R"), Q.accepted("l_linestatus", "O"), Q.Rule("order_unique", "UNIQUENESS", unique="l_orderkey"), Q.Rule("ship_known", "COMPLETENESS", "l_shipdate IS NOT NULL", severity="warn"),
 ]
 
 
 def _rule_sql(r: Q.Rule) -> str:
-    p = f"count(DISTINCT {r.unique})" if r.unique else f"count(*) FILTER (WHERE {r.passes})"
-    return f"SELECT '{r.name}' AS rule, '{r.dimension}' AS dimension, count(*)::BIGINT AS evaluated, ({p})::BIGINT AS passed, (count(*) - {p})::BIGINT AS failed, round(({p}) / count(*) * 100, 2) AS pass_pct, ({p}) / count(*) >= {r.threshold} AS ok FROM lineitem"
+    passes = r.passes if r.among is None else f"{r.among[0]} IS NULL OR {r.among[0]} IN ({', '.join(map(repr, r.among[1]))})"
+    p = f"(SELECT count(*) FILTER (WHERE {r.unique} IS NULL OR k = 1) FROM (SELECT {r.unique}, count(*) OVER (PARTITION BY {r.unique}) AS k FROM lineitem))" if r.unique else f"count(*) FILTER (WHERE {passes})"
+    return f"SELECT '{r.name}' AS rule, '{r.dimension}' AS dimension, '{r.severity}' AS severity, count(*)::BIGINT AS evaluated, ({p})::BIGINT AS passed, (count(*) - {p})::BIGINT AS failed, round(({p}) / count(*) * 100, 2) AS pass_pct, ({p}) / count(*) >= {r.threshold} AS ok FROM lineitem"
 
 
 @query(" UNION ALL ".join(map(_rule_sql, RULES)))
@@ -397,11 +374,31 @@ def features_forward_label(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d)
 
 
-@query()
-def ml_logreg_gate(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d).join(parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("product"), "s_acctbal", F.col("s_nationkey").cast("string").alias("nation")), "product").filter("label IS NOT NULL")
-    cutoff = f.select(F.expr("CAST(percentile_approx(datediff(day, DATE '1970-01-01'), 0.8) AS INT)").alias("c")).first()["c"]
-    early = F.datediff("day", F.to_date(F.lit("1970-01-01"))) < cutoff
-    model = learning.train(f.filter(early), ["qty", "s_acctbal"], ["nation"], "label")
-    m = learning.evaluate(model.transform(f.filter(~early)), "label")
-    return spark.createDataFrame([(m["roc_auc"], m["accuracy"], m["f1"], m["roc_auc"] >= 0.8)], "roc_auc double, accuracy double, f1 double, promoted boolean")
+@query(f"""SELECT count(*)::BIGINT AS rules, count(*) FILTER (WHERE NOT ok AND severity = 'error')::BIGINT AS errors, count(*) FILTER (WHERE NOT ok AND severity = 'warn')::BIGINT AS warnings, count(*) FILTER (WHERE NOT ok AND severity = 'error') = 0 AS passed
+  FROM ({" UNION ALL ".join(map(_rule_sql, RULES))})""")
+def dq_overall(spark: SparkSession, d: str) -> DataFrame:
+    return Q.overall(Q.scan(parquet(spark, d, "lineitem"), RULES))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*) BETWEEN 900 AND 1100 AS ok FROM orders WHERE o_orderdate >= TIMESTAMP '2001-03-01'")
+def dq_count_gate(spark: SparkSession, d: str) -> DataFrame:
+    return Q.count_gate(parquet(spark, d, "orders"), 900, 1100, "o_orderdate", F.to_timestamp_ntz(F.lit("2001-03-01 00:00:00")))
+
+
+@query("SELECT p_brand, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE i = n // 2 + 1")
+def upper_median_price(spark: SparkSession, d: str) -> DataFrame:
+    return A.upper_median(parquet(spark, d, "part"), ["p_brand"], "p_retailprice")
+
+
+@query("SELECT o_orderpriority, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS rate FROM orders GROUP BY ALL")
+def finished_rate(spark: SparkSession, d: str) -> DataFrame:
+    return A.rate(parquet(spark, d, "orders").withColumn("done", F.col("o_orderstatus") == "F"), ["o_orderpriority"], "done")
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 10")
+def latest_events(spark: SparkSession, d: str) -> DataFrame:
+    return parquet(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(10).select("event_id", "ts", "event_type")
+
+
+QUERIES |= warehouse.QUERIES
+ORACLES |= warehouse.ORACLES

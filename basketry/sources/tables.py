@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.history import apply_changes, merge_upsert
+
 
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -17,6 +22,17 @@ def csv(spark: SparkSession, path: str, schema: StructType | str | None, header:
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder that spark.checkpoint.dir names. Only a session on one machine may go without: it gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint()
+
+
 def with_load_metadata(df: DataFrame, source_file: str | None = None, loaded_at=None) -> DataFrame:
     """Adds _loaded_at and _source_file."""
     return df.withColumns({
@@ -37,15 +53,71 @@ def jdbc(spark: SparkSession, **options) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
 
 
-def migrate(spark: SparkSession, tables: list[str], target: str, **options) -> dict[str, int]:
-    """Copies tables whole from JDBC to parquet; returns their row counts as written."""
+def migrate(spark: SparkSession, tables: list[str], target: str, read=None, **options) -> dict[str, int]:
+    """Copies tables whole from JDBC, or from what read(table) gives, to parquet; returns their row counts as written."""
     counts = {}
     for t in tables:
-        replace(jdbc(spark, table=t, **options), f"{target.rstrip('/')}/{t}")
-        counts[t] = spark.read.parquet(f"{target.rstrip('/')}/{t}").count()
+        replace(read(t) if read else jdbc(spark, table=t, **options), f"{target.rstrip('/')}/{t}")
+        counts[t] = spark.read.parquet(f"{target.rstrip('/')}/{t}").count()  # from the files' footers
     return counts
 
 
+def load(spark: SparkSession, path: str, schema: StructType | str, target: str, expected: int | None = None, null_value: str = "") -> int:
+    """A CSV file into a bronze table, replaced whole, with its metadata; the rows that arrived, which must be as many as expected."""
+    replace(with_load_metadata(csv(spark, path, schema, null_value=null_value), path), target)
+    n = spark.read.parquet(target).count()
+    if expected is not None and n != expected:
+        raise ValueError(f"{target}: {n} rows, {expected} expected")
+    return n
+
+
+def swap(df: DataFrame, path: str) -> None:
+    """Replaces a table by rows that may come from it: they are written beside it first, and take its place by a rename."""
+    spark, new, old = df.sparkSession, f"{path.rstrip('/')}__new", f"{path.rstrip('/')}__old"
+    df.write.mode("overwrite").parquet(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new} cannot be moved")
+    fs.delete(at(old), True)
+    spark.catalog.refreshByPath(path)
+
+
+def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: list[str], compare: list[str], **more) -> None:
+    """MERGE into a parquet table."""
+    swap(merge_upsert(spark.read.parquet(path), source, keys, compare, **more), path)
+
+
+def apply_into(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], **more) -> None:
+    """A batch of changes into a parquet table, which then holds the current state."""
+    swap(apply_changes(spark.read.parquet(path), changes, keys, **more), path)
+
+
+def change_stream(spark: SparkSession, folder: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
+    """A stream of change rows with their operation (I, U, D) and sequence, from JSON files in the order they came."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+
+
+def replicate(changes: DataFrame, path: str, checkpoint: str, keys: list[str], seconds: int = 300, **more):
+    """Keeps a parquet table at the state that the changes lead to, one micro-batch after the other, every so many seconds. A batch that is run again changes nothing."""
+    def write(batch: DataFrame, n: int) -> None:
+        apply_into(batch.sparkSession, path, batch, keys, **more)
+
+    return changes.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(write)
+
+
+def kafka_options(servers: str, topic: str, starting: str = "latest") -> dict[str, str]:
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"}
+
+
+def kafka_stream(spark: SparkSession, **options) -> DataFrame:
+    """A subscription's messages, with the raw text in value; needs Spark's Kafka package."""
+    return spark.readStream.format("kafka").options(**kafka_options(**options)).load().select(F.col("value"))
+
+
 def rows(spark: SparkSession, data: list, schema: StructType | str) -> DataFrame:
     return spark.createDataFrame(data, schema)
 

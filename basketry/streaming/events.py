@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from ..operators.history import latest_per_key
 
-TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+#: The shape of a time, which is in UTC whatever the session's zone.
+TIME, TIME_SHAPE = "yyyy-MM-dd'T'HH:mm:ssX", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 WATERMARK = "5 minutes"
 
 
 def classify(raw: DataFrame, required: list[str], schema: str, column: str = "value", source: str = "stream") -> DataFrame:
     """Adds event, event_time and error_reason: broken JSON, then missing fields, then a bad time; null if the event is good."""
     text = F.col(column).cast("string")
-    keys = F.json_object_keys(text)
+    # the whole text must be one object: readers stop behind the first value, so what follows it must break both an array and an object around it
+    whole = (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    keys = F.when(whole, F.json_object_keys(text))
     missing = F.array_except(F.array(*map(F.lit, required)), F.coalesce(keys, F.array().cast("array<string>")))
     out = raw.withColumns({"event": F.from_json(text, schema), "_missing": missing, "_keys": keys})
-    out = out.withColumn("event_time", F.try_to_timestamp(F.col("event.timestamp"), F.lit(TIME)))
+    out = out.withColumn("event_time", F.when(F.col("event.timestamp").rlike(TIME_SHAPE), F.try_to_timestamp(F.col("event.timestamp"), F.lit(TIME))))
     reason = (
         F.when(F.col("_keys").isNull(), F.lit("invalid_json: not an object"))
         .when(F.size("_missing") > 0, F.concat(F.lit("missing_fields: "), F.array_join("_missing", ",")))
@@ -37,6 +40,19 @@ def malformed(classified: DataFrame, column: str = "value") -> DataFrame:
     return classified.filter("error_reason IS NOT NULL").select(F.col(column).cast("string").alias("raw_payload"), "error_reason", "source_subscription", F.current_timestamp().alias("processing_time"))
 
 
+def dead_letters(*classified: DataFrame) -> DataFrame:
+    """The malformed events of all streams in one."""
+    parts = [malformed(c) for c in classified]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def with_zone(events: DataFrame, zone: str = "warehouse_zone", unknown: str = "unknown_zone") -> DataFrame:
+    return events.withColumn(zone, F.coalesce(zone, F.lit(unknown)))
+
+
 def _window(at: str, length: str) -> Column:
     return F.window(at, length)
 
@@ -46,8 +62,10 @@ def _edges(df: DataFrame, *cols) -> DataFrame:
 
 
 def distinct_count(events: DataFrame, at: str, by: str, key: list[str], length: str = "1 minute", name: str = "order_count") -> DataFrame:
-    """Distinct events per window and group, in one aggregate, so that a late event only corrects the count."""
-    g = events.groupBy(_window(at, length), by).agg(F.size(F.collect_set(F.struct(*key))).cast("long").alias(name))
+    """Distinct events per window and group, so that a late event only corrects the count. On a stream they are counted in one aggregate, as no exact distinct count
+    runs there; a batch counts in two steps and holds no set."""
+    n = F.size(F.collect_set(F.struct(*key))).cast("long") if events.isStreaming else F.count_distinct(F.struct(*key))
+    g = events.groupBy(_window(at, length), by).agg(n.alias(name))
     return _edges(g, by, name)
 
 
