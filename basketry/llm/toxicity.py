@@ -125,27 +125,34 @@ def train(hashes: np.ndarray, offsets: np.ndarray, dense: np.ndarray, labels: np
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str = "doc_id", column: str = "text", rows_per_class: int = ROWS_PER_CLASS) -> Chain | None:
     """A chain for categories, name -> SQL condition over labels, in order. Without two classes of the last one there is nothing to fit: None.
 
-    Labels of a null key, and documents without a label, take no part; a repeated label counts once.
+    Labels of a null key, and documents without a label, take no part. Of several labels of a key each category takes the largest, and of several texts
+    the one with the smallest hash counts, so at most twice rows_per_class rows come to the driver, and always the same ones.
     """
     small_batches(docs.sparkSession)
     *_, last = names = list(categories)
-    y = [F.coalesce(F.expr(c).cast("int"), F.lit(0)).alias(n) for n, c in categories.items()]
-    marked = labels.filter(F.col(key).isNotNull()).select(key, *y).dropDuplicates([key])
-    order = [F.xxhash64(key, F.lit(8)), F.col(key)]
-    parts = [marked.filter(F.col(last) == v).orderBy(*order).limit(rows_per_class) for v in (0, 1)]
+    y = [F.max(F.coalesce(F.expr(c).cast("int"), F.lit(0))).alias(n) for n, c in categories.items()]
+    marked = labels.filter(F.col(key).isNotNull()).groupBy(key).agg(*y)
+    place = F.pmod(F.xxhash64(key, F.lit(8)), F.lit(1 << 30))
+    many = {r[last]: r["count"] for r in marked.groupBy(last).count().collect()}  # two rows
+    parts = []
+    for v in (0, 1):  # a bound on the hash first, so that no task sorts more than a little over what is wanted
+        few = marked.filter((F.col(last) == v) & (place < int(min(1.0, (1.2 * rows_per_class + 100) / max(1, many.get(v, 0))) * (1 << 30))))
+        parts.append(few.orderBy(place, key).limit(rows_per_class))
     taken = parts[0].unionByName(parts[1])
 
     def gather(batches):
         for b in batches:
             ks, texts, *ys = (c.to_pylist() for c in b.columns)
-            out = []
+            out, order = [], []
             for k, text, *y in zip(ks, texts, *ys):
                 found, extra = read(text)
                 h = np.array(sorted({x for w in found for x in features(w)}), dtype=np.uint64)
+                order.append(xxhash.xxh64_hexdigest(text or "") + repr(k))
                 out.append(pickle.dumps((k, h.tobytes(), extra, y)))
-            yield pa.RecordBatch.from_pydict({"s": pa.array(out, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array([repr(k) for k in ks], pa.string()), "h": pa.array(order, pa.string()), "s": pa.array(out, pa.binary())})
 
-    rows = docs.select(key, column).join(F.broadcast(taken), key).select(key, column, *names).mapInArrow(gather, "s binary").collect()
+    read_all = docs.select(key, column).join(F.broadcast(taken), key).select(key, column, *names).mapInArrow(gather, "k string, h string, s binary")
+    rows = read_all.groupBy("k").agg(F.min_by("s", "h").alias("s")).select("s").collect()
     got = sorted((pickle.loads(r[0]) for r in rows), key=lambda r: (repr(r[0]), r[1]))
     if len({r[3][-1] for r in got}) < 2:
         return None
