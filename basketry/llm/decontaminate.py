@@ -250,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", col
     items = _items(benchmark, item)
     known = _small(items)
     if known is None:
-        d, best = _by_shuffle(docs, items, key, column, item, share)
+        d, best = _by_shuffle(docs.select(key, column), items, key, column, item, share)
         out = d.join(best, "_row", "left").withColumn("items", F.coalesce("items", F.array().cast(best.schema["items"].dataType)))
         return out.select(key, F.size("items").cast("long").alias("n_items"), "items", F.coalesce("best_share", F.lit(0.0)).alias("best_share"), (F.size("items") > 0).alias("contaminated"))
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
@@ -314,7 +314,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     known = _small(items)
     if known is None:
         d, best = _by_shuffle(docs, items, key, column, item, share)
-        return d.join(best.filter(F.size("items") > 0), "_row", "left_anti").select(*docs.columns)
+        return d.join(best.filter(F.size("items") > 0).select("_row"), "_row", "left_anti").select(*docs.columns)
     small_batches(docs.sparkSession)
     at = docs.columns.index(column)
 
