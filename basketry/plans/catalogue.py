@@ -9,6 +9,7 @@ from ..functions import columns as X
 from ..operators import analytics as A
 from ..operators import history as H
 from ..operators import quality as Q
+from ..sources import tables as T
 from ..sources.tables import parquet
 from ..streaming import events as E
 from . import models as M
@@ -270,7 +271,7 @@ def row_count_gate(spark: SparkSession, d: str) -> DataFrame:
     all_of = parts[0]
     for p in parts[1:]:
         all_of = all_of.unionByName(p)
-    return all_of.select("table_name", "n_rows", (F.col("n_rows") > 0).alias("ok"), (F.min(F.when(F.col("n_rows") > 0, 1).otherwise(0)).over(Window.partitionBy(F.lit(1))) == 1).alias("gate"))
+    return all_of.orderBy("table_name").select("table_name", "n_rows", (F.col("n_rows") > 0).alias("ok"), (F.min(F.when(F.col("n_rows") > 0, 1).otherwise(0)).over(Window.partitionBy(F.lit(1))) == 1).alias("gate"))
 
 
 @query("""SELECT 'orders_unique' AS test, count(*)::BIGINT AS failures FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'lines_unique', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
@@ -400,5 +401,22 @@ def latest_events(spark: SparkSession, d: str) -> DataFrame:
     return parquet(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(10).select("event_id", "ts", "event_type")
 
 
+@query("SELECT event_type, count(*)::BIGINT AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL")
+def events_of_a_day(spark: SparkSession, d: str) -> DataFrame:
+    return T.on_day(parquet(spark, d, "events"), "ts", "2024-01-05").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*) BETWEEN 1 AND 100000 AS ok FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 48 HOUR")
+def recent_events_gate(spark: SparkSession, d: str) -> DataFrame:
+    since = F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")) - F.expr("INTERVAL 48 HOURS")
+    return Q.count_gate(parquet(spark, d, "events"), 1, 100_000, "ts", since)
+
+
+@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
+def one_line_of_an_order(spark: SparkSession, d: str) -> DataFrame:
+    li = parquet(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return H.latest_per_key(li, ["l_orderkey"], [F.col("l_linenumber")])
+
+
 QUERIES |= warehouse.QUERIES
 ORACLES |= warehouse.ORACLES

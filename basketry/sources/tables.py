@@ -128,6 +128,12 @@ def text_stream(spark: SparkSession, folder: str, files_per_trigger: int | None
     return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).load(folder)
 
 
+def on_day(df: DataFrame, at: str, day: str) -> DataFrame:
+    """The rows of one day, as a half-open range, which reaches the scan."""
+    start = F.lit(f"{day} 00:00:00").cast(df.schema[at].dataType)
+    return df.filter((F.col(at) >= start) & (F.col(at) < start + F.expr("INTERVAL 1 DAY")))
+
+
 def dates(spark: SparkSession, first: str, last: str, name: str = "date") -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias(name))
 
