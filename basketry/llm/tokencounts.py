@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from .common import map_rows, small_batches, table
 
 TABLE = 32_768
-SUMMARY = 4_096
+SUMMARY = 16_384
 CACHE = 400_000
 #: Characters of a pre-token that either tier keeps, at most.
 LONGEST = 128
