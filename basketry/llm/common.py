@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,6 +69,12 @@ def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
+def gathered(parts: RDD, merge: Callable):
+    """What merge makes of one value from each task, in a tree of so many levels that about eight values reach the driver, however many tasks there are; None of no task."""
+    n = parts.getNumPartitions()
+    return parts.treeReduce(merge, max(2, math.ceil(math.log(max(2, n), 8)))) if n else None
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, cut, small_batches, table
+from .common import arrow_schema, batch, cut, gathered, small_batches, table
 
 FREQUENT = 200_000
 FREQUENT_BYTES = 64
@@ -270,7 +270,8 @@ def step(built: DataFrame, v: Vocabulary, probs: np.ndarray) -> tuple[np.ndarray
 
     parts = built.mapInArrow(run, "s binary").rdd.map(lambda r: bytes(r[0]))
     add = lambda x, y: (np.frombuffer(x) + np.frombuffer(y)).tobytes()
-    total = np.frombuffer(parts.treeReduce(add)) if parts.getNumPartitions() else np.zeros(len(probs) + 2)
+    whole = gathered(parts, add)
+    total = np.frombuffer(whole) if whole is not None else np.zeros(len(probs) + 2)
     return total[:-2], float(total[-2]), int(total[-1])
 
 

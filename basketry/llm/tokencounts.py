@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_rows, small_batches, table
+from .common import gathered, map_rows, small_batches, table
 
 TABLE = 32_768
 SUMMARY = 16_384
@@ -74,7 +74,8 @@ def frequent(docs: DataFrame, column: str = "text", fraction: float = FRACTION)
         return pickle.dumps(c.most_common(2 * TABLE))
 
     parts = docs.select(column).sample(fraction, seed=11).mapInArrow(summary, "s binary").rdd.map(lambda r: bytes(r[0]))
-    return [k for k, _ in pickle.loads(parts.treeReduce(merge))[:TABLE]] if parts.getNumPartitions() else []
+    whole = gathered(parts, merge)
+    return [k for k, _ in pickle.loads(whole)[:TABLE]] if whole is not None else []
 
 
 def ranked(path: str):
