@@ -1,14 +1,17 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are SHINGLE words; a shingle's weight is its count times a smoothed inverse document frequency in [1, 2], taken from counts
-over all documents in a table of BUCKETS hash buckets, whose size does not grow. Each document draws HASHES samples, such that two
+Shingles are SHINGLE words; a shingle's weight is its count times a smoothed inverse document frequency in [1, 2]: 1 if all documents hold it, 2 if at
+most one in RARE does, and in between by the logarithm. So a weight hangs on the share of documents and not on how many there are. The shares
+come from counts over all documents in two hash tables, from which what rare shingles put into every bucket is taken off; as at most RARE times
+the mean length of shingles are not rare, however many documents there are, the tables need not grow. A rare shingle gets a smaller weight only if
+it meets a frequent one in both tables. Each document draws HASHES samples, such that two
 documents draw the same one with the probability of their weighted Jaccard similarity; ROWS samples make a band, and documents
 that agree in a band are compared exactly, by their weighted shingles. THRESHOLD or more is a link; classes are connected components.
 
 Texts with the same words are made one first. In each band's bucket every text is compared with the bucket's first; most buckets then
 lie in one class. Where one does not, its texts are laid out in blocks of about BLOCK and each pair of blocks goes to some task, so no
-crowded bucket falls to a single one. There a pair of texts of different classes is compared exactly, in the first band that both share,
-if AGREE or more of their HASHES samples are the same: at a similarity of THRESHOLD fewer are with a probability under 0.001.
+crowded bucket falls to a single one. There all pairs are compared at once: the weights that two texts share are a product of two matrices, over the
+shingles that stand in more than one text of the blocks, and only pairs that lie at the threshold are summed up one by one.
 """
 
 from __future__ import annotations
@@ -23,16 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, components, cut, mix, small_batches, table
+from .common import arrow_schema, batch, components, cut, gathered, mix, small_batches, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES, ROWS = 36, 3
 BUCKETS = 1 << 20
+RARE = 256
 GRAIN = 1 << 14
 BLOCK = 1_024
-AGREE = 20
+#: Columns of a matrix at once, and how far from the threshold single precision decides.
+WIDE = 4_096
+EDGE = 1e-3
 CHUNK = 2_048
+SHARE = 2_048
 CACHE = 300_000
 WORD = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +57,10 @@ class Shingler:
     def __init__(self, df: np.ndarray | None = None, n: int = 0):
         self.words = Hashes()
         if df is not None:
-            self.idf = (1 + np.log1p(n / np.maximum(1, df)) / np.log1p(max(1, n))).astype(np.float32)
+            halves = df.reshape(2, -1).astype(np.float64)
+            noise = np.median(halves, axis=1, keepdims=True)
+            share = np.clip((halves - noise - 4 * np.sqrt(noise)) / max(1, n), 1 / RARE, 1)
+            self.idf = (1 - np.log(share) / np.log(RARE)).astype(np.float32).ravel()
 
     def ids(self, text: str) -> np.ndarray:
         w = WORD.findall(text.lower())
@@ -67,9 +77,13 @@ class Shingler:
             h = h * ODD + ids[j : n - k + 1 + j]
         return np.unique(mix(h + np.uint64(k)), return_counts=True)
 
+    def weight(self, h: np.ndarray) -> np.ndarray:
+        a, b = buckets(h)
+        return np.maximum(self.idf[a], self.idf[b])
+
     def weighted(self, text: str):
         h, tf = self.shingles(self.ids(text))
-        return h, tf * self.idf[bucket(h)]
+        return h, tf * self.weight(h)
 
 
 _HELD: list = [None, None]
@@ -83,8 +97,10 @@ def shingler(df) -> Shingler:
     return _HELD[1]
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's place in either table; the tables stand one behind the other."""
+    half = BUCKETS // 2
+    return (h >> np.uint64(45)).astype(np.int64), (h >> np.uint64(20) & np.uint64(half - 1)).astype(np.int64) + half
 
 
 class Sampler:
@@ -135,6 +151,34 @@ def similarity(a, b) -> float:
     return float(low / total) if total > 0 else 0.0
 
 
+def similarities(s: Shingler, sets: list, left: slice, right: slice) -> np.ndarray:
+    """Weighted Jaccard similarities of texts on the left with texts on the right. A shingle that a text holds k times is k features of one weight."""
+    hashes, rows = [], []
+    for i, (h, w) in enumerate(sets):
+        tf = np.rint(w / s.weight(h)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
+        level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        h = np.repeat(h, tf)
+        hashes.append(np.where(level == 0, h, mix(h + level.astype(np.uint64) * ODD)))
+        rows.append(np.column_stack([np.full(len(h), i), np.arange(len(h))]))
+    total = np.array([w.sum() for _, w in sets], np.float32)
+    weights = np.concatenate([np.repeat(s.weight(h), np.rint(w / s.weight(h)).astype(np.int64)) if len(h) else np.zeros(0, np.float32) for h, w in sets])
+    row = np.concatenate(rows)[:, 0]
+    _, first, place, n = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+    common = n > 1
+    column = (np.cumsum(common) - 1)[place]
+    row, column, weight = row[common[place]], column[common[place]], weights[first][common]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((left.stop - left.start, right.stop - right.start), np.float32)
+    for lo in range(0, len(weight), WIDE):
+        i, j = np.searchsorted(column, [lo, lo + WIDE])
+        m = np.zeros((len(sets), min(WIDE, len(weight) - lo)), np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        shared += (m[left] * weight[lo : lo + WIDE]) @ m[right].T
+    whole = total[left][:, None] + total[right][None, :] - shared
+    return np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
+
+
 def document_frequencies(docs: DataFrame, column: str) -> tuple[np.ndarray, int]:
     """Documents for each bucket of shingles, over all documents, and how many documents there are. Tasks send what they counted, added up in a tree."""
     small_batches(docs.sparkSession)
@@ -144,8 +188,8 @@ def document_frequencies(docs: DataFrame, column: str) -> tuple[np.ndarray, int]
         for b in batches:
             for text in b.column(0).to_pylist():
                 n += 1
-                at = bucket(s.shingles(s.ids(text or ""))[0])
-                df[np.unique(at)] += 1
+                for at in buckets(s.shingles(s.ids(text or ""))[0]):
+                    df[np.unique(at)] += 1
         yield pa.RecordBatch.from_pydict({"s": pa.array([pack(df, n)], pa.binary())})
 
     def pack(df, n):
@@ -167,9 +211,8 @@ def document_frequencies(docs: DataFrame, column: str) -> tuple[np.ndarray, int]
         return pack(x + y, n + m)
 
     parts = docs.select(column).mapInArrow(run, "s binary").rdd.map(lambda r: bytes(r[0]))
-    if not parts.getNumPartitions():
-        return np.zeros(BUCKETS, np.int32), 0
-    return unpack(parts.treeReduce(merge))
+    whole = gathered(parts, merge)
+    return unpack(whole) if whole is not None else (np.zeros(BUCKETS, np.int32), 0)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -183,43 +226,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     small_batches(spark)
     counts, n = document_frequencies(docs, column)
     df = spark.sparkContext.broadcast((counts, n))  # BUCKETS numbers, whatever the input
-    shape = "id long, digest binary, bands array<long>, sig binary"
+    shape = "id long, digest binary, bands array<long>"
     arrow = arrow_schema(shape)
 
     def sign(batches):
         s, draw = shingler(df), Sampler()
         for b in batches:
-            ks, digests, bands, sigs = b.column(0), [], [], []
+            ks, digests, bands = b.column(0), [], []
             for text in b.column(1).to_pylist():
                 ids = s.ids(text or "")
                 if len(ids):
                     h, tf = s.shingles(ids)
                     digests.append(xxhash.xxh128_digest(ids.tobytes()))
-                    drawn = draw.draw(h, tf * s.idf[bucket(h)])
-                    bands.append(draw.bands(drawn))
-                    sigs.append(drawn.astype(np.uint32).tobytes())
+                    bands.append(draw.bands(draw.draw(h, tf * s.weight(h))))
                 else:
-                    for c in (digests, bands, sigs):
-                        c.append(None)
-            yield batch(arrow, ks, digests, bands, sigs)
+                    digests.append(None)
+                    bands.append(None)
+            yield batch(arrow, ks, digests, bands)
 
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(column).alias("text"))
     signed = cut(d.mapInArrow(sign, shape))
     some = F.col("digest").isNotNull() & F.col("id").isNotNull()
-    reps = cut(signed.filter(some).groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    reps = cut(signed.filter(some).groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     members = reps.select("rep", F.explode("bands").alias("bucket"))
-    firsts = members.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", "first")
-    members = cut(members.join(firsts, "bucket").select("bucket", "rep", "first"))
+    firsts = members.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).filter("size > 1")
+    members = cut(members.join(firsts, "bucket").select("bucket", "rep", "first", "size"))
     texts = d.filter("id IS NOT NULL").select("id", "text")
-    pairs = members.filter("rep <> first").select("rep", "first").distinct()
-    linked = _verify(pairs, texts, df, threshold)
+    mates = members.filter("rep <> first").groupBy("rep", "first").agg(F.max("size").alias("size"))
+    linked = _verify(mates, texts, df, threshold)
+    members = members.select("bucket", "rep")
     label = components(linked, "rep", "first")
     # buckets that hold several classes still
     named = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
     mixed = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
     rest = cut(named.join(mixed, "bucket"))
     if not rest.isEmpty():
-        linked = cut(linked.unionByName(_verify_blocks(rest.join(reps.select("rep", "bands", "sig"), "rep"), texts, df, threshold)))
+        linked = cut(linked.unionByName(_verify_blocks(rest, texts, df, threshold)))
         label = components(linked, "rep", "first")
     named = reps.select("digest", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     kind = docs.schema[key].dataType
@@ -227,9 +269,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, df, threshold: float) -> DataFrame:
-    """The pairs (rep, first) whose texts are similar enough."""
-    both = pairs.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("t1")), "rep").join(texts.select(F.col("id").alias("first"), F.col("text").alias("t2")), "first")
+def _verify(mates: DataFrame, texts: DataFrame, df, threshold: float) -> DataFrame:
+    """The pairs (rep, first) whose texts are similar enough. The first of a large bucket is sent in as many copies as there are SHARE of its mates."""
+    parts = F.ceil(F.col("size") / SHARE).cast("int")
+    salted = mates.withColumn("salt", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    firsts = mates.groupBy("first").agg(F.max(parts).alias("n")).join(texts.select(F.col("id").alias("first"), F.col("text").alias("t2")), "first")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    both = salted.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("t1")), "rep").join(firsts, ["first", "salt"])
     arrow = arrow_schema("rep long, first long")
 
     def run(batches):
@@ -248,37 +294,27 @@ def _verify(pairs: DataFrame, texts: DataFrame, df, threshold: float) -> DataFra
 def _verify_blocks(rest: DataFrame, texts: DataFrame, df, threshold: float) -> DataFrame:
     """Links between texts of different classes in one bucket; each pair of blocks is a group, and a group returns a spanning forest's links."""
     at = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    cols = ("b", "rep", "part", "bands", "sig")
+    cols = ("b", "rep", "part")
     placed = rest.withColumn("b", at).join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = placed.select("bucket", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), *cols, "text")
     arrow = arrow_schema("rep long, first long")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
+        t = t.sort_by([("b", "ascending"), ("rep", "ascending")])
         bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
         b, reps, parts = (np.array(t.column(c)) for c in ("b", "rep", "part"))
-        bands = np.array(t.column("bands").to_pylist(), np.int64)
-        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(b), HASHES)
-        band = int(np.argmax(bands[0] == t.column("bucket")[0].as_py()))
-        texts, sets = t.column("text"), {}
-
-        def weighted(i):
-            if i not in sets:
-                sets[i] = shingler(df).weighted(texts[i].as_py() or "")
-            return sets[i]
-
-        found = []
-        for lo in range(0, len(b), 32):
-            i = slice(lo, lo + 32)
-            agree = (sigs[i, None, :] == sigs[None, :, :]).sum(2)
-            ok = (agree >= AGREE) & (reps[i, None] < reps[None, :]) & (parts[i, None] != parts[None, :])
-            if bi != bj:
-                ok &= b[i, None] != b[None, :]
-            x, y = np.nonzero(ok)
-            first = (bands[x + lo] == bands[y]).argmax(1) == band
-            found.append(np.column_stack([agree[x, y], x + lo, y])[first])
-        found = np.concatenate(found)
-        found = found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))]
+        s, texts = shingler(df), t.column("text")
+        left = slice(0, int((b == bi).sum()))
+        right = slice(left.stop if bi != bj else 0, len(b))
+        if (parts == parts[0]).all():
+            return arrow.empty_table()
+        sets = [s.weighted(texts[i].as_py() or "") for i in range(len(b))]
+        sim = similarities(s, sets, left, right)
+        near = (sim >= threshold - EDGE) & (parts[left][:, None] != parts[right][None, :])
+        if bi == bj:
+            near &= reps[left][:, None] < reps[right][None, :]
+        x, y = np.nonzero(near)
+        order = np.argsort(-sim[x, y], kind="stable")
         root = {p: p for p in parts.tolist()}
 
         def find(p):
@@ -288,9 +324,9 @@ def _verify_blocks(rest: DataFrame, texts: DataFrame, df, threshold: float) -> D
             return p
 
         out = ([], [])
-        for _, i, j in found.tolist():
+        for i, j, sure in zip((x[order] + left.start).tolist(), (y[order] + right.start).tolist(), (sim[x, y][order] >= threshold + EDGE).tolist()):
             p, q = find(int(parts[i])), find(int(parts[j]))
-            if p != q and similarity(weighted(i), weighted(j)) >= threshold:
+            if p != q and (sure or similarity(sets[i], sets[j]) >= threshold):
                 root[max(p, q)] = min(p, q)
                 out[0].append(int(reps[j]))
                 out[1].append(int(reps[i]))
@@ -300,10 +336,12 @@ def _verify_blocks(rest: DataFrame, texts: DataFrame, df, threshold: float) -> D
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """One row of each class, with all its columns; rows with a null key all stay."""
+    """One row of each class, with all its columns; rows with a null key all stay. Of rows with one key, which are one document, the text with the smallest hash stays."""
     kept = near_duplicates(docs, key, column).filter("kept").filter(F.col(key).isNotNull()).select(F.col(key).alias("_kept")).distinct()
     found = docs.filter(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi")
-    return found.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    by = F.xxhash64(column, *(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    one = found.groupBy(F.col(key).alias("_kept")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(column), by)).alias("_row")).select("_row.*")
+    return one.unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
