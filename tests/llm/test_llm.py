@@ -385,6 +385,43 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_similarities_of_many_at_once(monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (3, 40, 200, 1, 60)] + ["", "x y z x y z x y z x y z x y"]
+    texts += [edited(t, 1, i) for i, t in enumerate(texts[:3])] + [texts[2] + " " + texts[2], texts[1]]
+    s = minhash.Shingler(np.zeros(minhash.BUCKETS, np.int32), 5)
+    monkeypatch.setattr(minhash, "WIDE", 7)
+    sets = [s.weighted(t) for t in texts]
+    got = minhash.similarities(s, sets, slice(0, 4), slice(4, len(sets)))
+    assert got == pytest.approx(np.array([[minhash.similarity(a, b) for b in sets[4:]] for a in sets[:4]]), abs=1e-5)
+
+
+def test_near_duplicates_in_mixed_buckets(spark, monkeypatch):
+    """Chains of edits in one crowd: buckets hold several classes, and blocks are small."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r = random.Random(16)
+    base = [f"w{r.randint(0, 900)}" for _ in range(80)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for j in range(0, 2 + k % 6):
+            w[r.randrange(80)] = f"v{k % 9}{j}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, n = minhash.document_frequencies(df, "text")
+    s = minhash.Shingler(counts, n)
+    sets = [s.weighted(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if minhash.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(df).collect()}
+    assert all(root[got[i]] == root[i] for i in got)  # no link that is none
+    assert len({*got.values()}) <= len({*root}) + 2
+
+
 def test_samples_agree_as_often_as_weights(spark):
     rng = np.random.default_rng(2)
     draw, same, want = minhash.Sampler(), [], []
