@@ -33,12 +33,13 @@ def as_of_join(facts: DataFrame, versions: DataFrame, key: str, at: str, half_op
     return facts.join(v, (F.col(key) == F.col("_key")) & (F.col(at) >= F.col("valid_from")) & upto, how).drop("_key")
 
 
-def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], compare: list[str], null_safe: bool = False, follow: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
+def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], compare: list[str], null_safe: bool = False, follow: list[str] | None = None, order: list[Column] | None = None, outer: bool = False) -> DataFrame:
     """Rows of source replace the compared columns, and those that follow them, where a compared one differs, and are added where they are new; columns
-    that source lacks stay null in new rows. Of source rows with one key the first in order counts; without an order they are an error, as in MERGE."""
+    that source lacks stay null in new rows. Of source rows with one key the first in order counts; without an order they are an error, as in MERGE.
+    With outer they all count, as in a full outer join: a target row comes once for each of them, and what source holds replaces all but by nulls."""
     if order is not None:
         source = latest_per_key(source, keys, order)
-    else:
+    elif not outer:
         n = F.count("*").over(Window.partitionBy(*keys))
         twice = F.when(n > 1, F.raise_error(F.lit("several source rows have one key: give an order"))).otherwise(F.lit(True))
         source = source.withColumn("_one", twice).filter("_one").drop("_one")
@@ -50,7 +51,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], compare:
         d = ~F.col(c).eqNullSafe(F.col(f"_s_{c}")) if null_safe else F.coalesce(F.col(c) != F.col(f"_s_{c}"), F.lit(False))
         differs = d if differs is None else differs | d
     hit = F.coalesce(F.col("_s"), F.lit(False)) & differs
-    kept = target.join(s, on, "left").select(*(F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in target.columns))
+    value = lambda c: F.coalesce(f"_s_{c}", c) if outer else F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c))
+    kept = target.join(s, on, "left").select(*(value(c).alias(c) if c in changed else F.col(c) for c in target.columns))
     return kept.unionByName(source.join(target, keys, "left_anti"), allowMissingColumns=True).select(*target.columns)
 
 

@@ -173,7 +173,7 @@ SELECT coalesce(p.p_partkey, s.p_partkey) AS p_partkey, p.p_brand, CAST(coalesce
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     t = parquet(spark, d, "part").select("p_partkey", "p_brand", "p_size")
     s = t.filter("p_partkey % 10 = 0").select("p_partkey", (F.col("p_size") + 1).alias("p_size")).unionByName(t.filter("p_partkey % 50 = 0").select((F.col("p_partkey") + 1000000).alias("p_partkey"), "p_size"))
-    return H.merge_upsert(t, s, ["p_partkey"], ["p_size"])
+    return H.merge_upsert(t, s, ["p_partkey"], ["p_size"], outer=True)  # beyond 1,000,000 the added keys are those of other parts too
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 2 UNION ALL SELECT o_orderkey + 100000000, 'N' FROM orders WHERE o_orderkey % 7 = 3""")

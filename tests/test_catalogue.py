@@ -100,6 +100,17 @@ def test_merge_keeps_nulls_unless_asked(spark):
     assert {tuple(r) for r in H.merge_upsert(t, s, ["k"], ["q"], null_safe=True).collect()} == {(1, 7), (2, 6), (3, 1)}
 
 
+def test_merge_query_where_added_keys_exist(spark, tmp_path):
+    keys = [50, 60, 61, 1000050, 1000050, 1000060, 1000061, None]
+    rows = [(k, f"B{i}", s) for i, k in enumerate(keys) for s in ((i, None) if k in (50, 1000050) else (i,))]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = catalogue.merge_upsert(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+        want = db.sql(catalogue.ORACLES["merge_upsert"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def test_snapshot_runs_again_without_change(spark):
     c = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
     first = H.snapshot(None, c, "k", ["s"], F.lit("2024-01-01").cast("timestamp"))
