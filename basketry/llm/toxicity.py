@@ -4,7 +4,7 @@ The categories are predicted one after the other by linear models over words and
 takes the earlier categories' probabilities. It is trained on out-of-fold ones, so what it learns to trust is what it meets later.
 
 Only the fit uses a sample, of at most ROWS_PER_CLASS labelled rows for each value of the last category, the ones with the smallest
-hashes; each task sends the features of its sampled documents. Scoring reads every row, whole.
+hashes. Their features are counted and chosen in tasks; the driver gets the chosen ones and where they occur. Scoring reads every row, whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, table
+from .common import arrow_schema, batch, cut, map_rows, small_batches, table
 
 #: Labelled rows for the fit, for each value of the last category.
 ROWS_PER_CLASS = 2_500
@@ -81,31 +81,47 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, dense: np.n
     return w
 
 
-def choose(hashes: np.ndarray, offsets: np.ndarray, labels: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """The features whose share of documents differs most from class to class, in standard errors, over any category."""
-    n = len(offsets) - 1
-    values, at = np.unique(hashes, return_inverse=True)
-    rows = np.repeat(np.arange(n), np.diff(offsets))
-    df = np.bincount(at, minlength=len(values))
-    best = np.zeros(len(values))
-    for y in labels.T:
-        pos, n1 = np.bincount(at, y[rows], len(values)), max(1.0, y.sum())
-        n0 = max(1.0, n - y.sum())
-        p, q, share = pos / n1, (df - pos) / n0, df / max(1, n)
+def differences(df: np.ndarray, with_feature: list[np.ndarray], n: int, totals: list[int]) -> np.ndarray:
+    """How much each feature's share of documents differs from class to class, in standard errors, at most over the categories.
+
+    df: documents with the feature, with_feature: the same in each category's class 1, of n documents and totals in class 1."""
+    best, share = np.zeros(len(df)), df / max(1, n)
+    for pos, total in zip(with_feature, totals):
+        n1, n0 = max(1.0, total), max(1.0, n - total)
+        p, q = pos / n1, (df - pos) / n0
         best = np.maximum(best, np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0)))
-    best[df < 3] = 0
-    order = np.lexsort((values, -best))[:most]
-    return np.sort(values[order[best[order] > 5.0]])
-
-
-def train(hashes: np.ndarray, offsets: np.ndarray, dense: np.ndarray, labels: np.ndarray, names: list[str], folds: np.ndarray) -> Chain:
-    """labels: a column of 0 and 1 for each category, in the order of the chain."""
-    n = len(offsets) - 1
-    chosen = choose(hashes, offsets, labels)
-    at = np.minimum(np.searchsorted(chosen, hashes), max(0, len(chosen) - 1))
-    hit = chosen[at] == hashes if len(chosen) else np.zeros(len(hashes), bool)
-    rows, cols = np.repeat(np.arange(n), np.diff(offsets))[hit], at[hit]
-    weights = []
+    return best
+
+
+def choose(rows: DataFrame, n: int, totals: list[int], most: int = FEATURES) -> np.ndarray:
+    """The features in three documents or more that differ most, counted and compared in tasks, so only they reach the driver. rows: h, y0, y1..."""
+    ys = [f"y{i}" for i in range(len(totals))]
+    shape = "f long, n long, " + ", ".join(f"{y} long" for y in ys)
+    arrow, found = arrow_schema(shape), arrow_schema("f long, best double")
+    flip = np.uint64(1 << 63)  # keeps the order of hashes as signed numbers
+
+    def tally(batches):
+        for b in batches:
+            arrays = [np.frombuffer(h, np.uint64) for h in b.column(0).to_pylist()]
+            if arrays:
+                values, at = np.unique(np.concatenate(arrays), return_inverse=True)
+                doc = np.repeat(np.arange(len(arrays)), [len(h) for h in arrays])
+                pos = [np.bincount(at, b.column(1 + i).to_numpy()[doc], len(values)).astype(np.int64) for i in range(len(ys))]
+                yield batch(arrow, (values ^ flip).view(np.int64), np.bincount(at, minlength=len(values)), *pos)
+
+    def rated(batches):
+        for b in batches:
+            f, df, *pos = (c.to_numpy() for c in b.columns)
+            yield batch(found, f, differences(df, pos, n, totals))
+
+    counts = rows.select("h", *ys).mapInArrow(tally, shape).groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n", *ys))).filter("n >= 3")
+    top = counts.mapInArrow(rated, "f long, best double").filter("best > 5").orderBy(F.desc("best"), "f").limit(most).select("f").collect()
+    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64) ^ flip)
+
+
+def train(chosen: np.ndarray, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, labels: np.ndarray, names: list[str], folds: np.ndarray) -> Chain:
+    """rows, cols: which documents have which of the chosen features; labels: a column of 0 and 1 for each category, in the order of the chain."""
+    n, weights = len(labels), []
     for i, y in enumerate(labels.T):
         weights.append(logistic(rows, cols, n, len(chosen), dense, y))
         if i + 1 < labels.shape[1]:
@@ -143,23 +159,40 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ke
     def gather(batches):
         for b in batches:
             ks, texts, *ys = (c.to_pylist() for c in b.columns)
-            out, order = [], []
-            for k, text, *y in zip(ks, texts, *ys):
-                found, extra = read(text)
-                h = np.array(sorted({x for w in found for x in features(w)}), dtype=np.uint64)
+            out, about, order = [], [], []
+            for k, text in zip(ks, texts):
+                words, extra = read(text)
+                out.append(np.array(sorted({x for w in words for x in features(w)}), dtype=np.uint64).tobytes())
+                about.append(pickle.dumps((repr(k), extra)))
                 order.append(xxhash.xxh64_hexdigest(text or "") + repr(k))
-                out.append(pickle.dumps((k, h.tobytes(), extra, y)))
-            yield pa.RecordBatch.from_pydict({"k": pa.array([repr(k) for k in ks], pa.string()), "h": pa.array(order, pa.string()), "s": pa.array(out, pa.binary())})
-
-    read_all = docs.select(key, column).join(F.broadcast(taken), key).select(key, column, *names).mapInArrow(gather, "k string, h string, s binary")
-    rows = read_all.groupBy("k").agg(F.min_by("s", "h").alias("s")).select("s").collect()
-    got = sorted((pickle.loads(r[0]) for r in rows), key=lambda r: (repr(r[0]), r[1]))
-    if len({r[3][-1] for r in got}) < 2:
+            yield batch(arrow, [repr(k) for k in ks], order, out, about, *ys)
+
+    own = [f"y{i}" for i in range(len(names))]
+    shape = "k string, place string, h binary, about binary, " + ", ".join(f"{y} int" for y in own)
+    arrow = arrow_schema(shape)
+    read_all = docs.select(key, column).join(F.broadcast(taken), key).select(key, column, *names).mapInArrow(gather, shape)
+    rows = cut(read_all.groupBy("k").agg(F.min_by(F.struct("h", "about", *own), "place").alias("r")).select("r.*"))
+    n, *totals = rows.agg(F.count("*"), *(F.coalesce(F.sum(y), F.lit(0)) for y in own)).first()
+    if totals[-1] in (0, n):
         return None
-    arrays = [np.frombuffer(r[1], np.uint64) for r in got]
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
-    folds = np.array([xxhash.xxh64_intdigest(repr(r[0])) % FOLDS for r in got])
-    return train(np.concatenate(arrays), offsets, np.array([r[2] for r in got]), np.array([r[3] for r in got], float), names, folds)
+    chosen = choose(rows, n, totals)
+    wide, told = "about binary, cols binary, " + ", ".join(f"{y} int" for y in own), docs.sparkSession.sparkContext.broadcast(chosen)
+    wide_arrow = arrow_schema(wide)
+
+    def places(batches):
+        some = np.append(told.value, np.uint64(0))  # what lies beyond the last one is not 0
+        for b in batches:
+            cols = []
+            for h in b.column(1).to_pylist():
+                at = np.searchsorted(some[:-1], h := np.frombuffer(h, np.uint64))
+                cols.append(at[some[at] == h].astype("<u4").tobytes() if len(some) > 1 else b"")
+            yield batch(wide_arrow, b.column(0), cols, *b.columns[2:])
+
+    got = sorted((*pickle.loads(a), c, y) for a, c, *y in rows.select("about", "h", *own).mapInArrow(places, wide).collect())
+    sizes = [len(c) // 4 for _, _, c, _ in got]
+    cols = np.frombuffer(b"".join(c for _, _, c, _ in got), "<u4").astype(np.int64)
+    folds = np.array([xxhash.xxh64_intdigest(k) % FOLDS for k, *_ in got])
+    return train(chosen, np.repeat(np.arange(n), sizes), cols, np.array([x for _, x, _, _ in got]), np.array([y for *_, y in got], float), names, folds)
 
 
 def scorer(chain: Chain | None):

@@ -617,6 +617,25 @@ def test_toxicity_fit_takes_one_row_of_a_key(spark):
     assert all((x == y).all() for x, y in zip(a.weights, b.weights))
 
 
+def test_toxicity_fit_brings_only_chosen_features_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*("".join(rng.choice([*"abcdefghij"], 9)) for _ in range(400)), "good" if i % 2 else "bad", "poor" if i % 3 else "rich"]) for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    met, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: met.append(got := collect(df)) or got)
+    chain = toxicity.fit_chain(docs, labels, toxicity.CATEGORIES)
+    assert sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 for rows in met for r in rows for v in r) < 60 * 200  # all features: 60 * 1,600 * 8
+    has = [{h for w in toxicity.read(t)[0] for h in toxicity.features(w)} for t in texts]
+    want = []
+    for h in set().union(*has):
+        df = sum(h in x for x in has)
+        pos = [np.array([sum(h in x for x, i in zip(has, range(60)) if i % 3)]), np.array([sum(h in x for x, i in zip(has, range(60)) if i % 2)])]
+        want += [h] * bool(df >= 3 and toxicity.differences(np.array([df]), pos, 60, [40, 30])[0] > 5)
+    assert chain.chosen.tolist() == sorted(want) and len(want) >= 2
+    assert [toxicity.scorer(chain)(t)[1] >= 0.5 for t in texts] == [i % 2 == 1 for i in range(60)]
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     rows, marks = [], []
