@@ -474,6 +474,24 @@ def test_repeats(spark, monkeypatch):
         assert all(x["n_removed"] == 0 for x in suffixes.remove_repeats(df.filter(few)).collect())
 
 
+def test_repeats_in_rounds_move_no_block_again(spark, monkeypatch):
+    for k, v in {"HOT": 2, "BLOCK_BYTES": 500, "FEW_BYTES": 0, "ROUNDS": 3}.items():
+        monkeypatch.setattr(suffixes, k, v)
+    r = random.Random(10)
+    passage = "".join(r.choice("abcdefgh é") for _ in range(90))
+    texts = ["".join(r.choice("abcd") for _ in range(r.randint(0, 200))) + passage[r.randint(0, 30) : r.randint(60, 90)] + "".join(r.choice("abcd") for _ in range(40)) for _ in range(40)]
+    out = suffixes.remove_repeats(spark.createDataFrame([*enumerate(texts), (40, texts[7])], "doc_id long, text string").repartition(4), texts=True)
+    want = brute([(i, t.encode()) for i, t in enumerate([*texts, texts[7]])])
+    assert {x["doc_id"]: bytes(x["kept"]) for x in out.collect()} == want
+    lines = out._jdf.queryExecution().sparkPlan().toString(), out._jdf.queryExecution().executedPlan().toString()
+    assert "body" in lines[0]
+    plan = [x for x in lines[1].split("\n")]
+    assert not any("Exchange" in a and "body" in b for a, b in zip(plan, plan[1:]))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    suffixes.cut_dealt(spark.range(9), 3, "id")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_anchors_do_not_hang_on_pieces(monkeypatch):
     r = random.Random(3)
     raw = "".join(r.choice("abcd") for _ in range(5000)).encode()
